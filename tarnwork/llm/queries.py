@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import mojibake, tokenize
+from tarnwork.llm import leakage, mojibake, tokenize
 from tarnwork.sources.tables import table
 
 
@@ -27,5 +27,13 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_text(_written_records(spark, sf_dir), "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p8_ids": p8_ids}
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_spans(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {}
