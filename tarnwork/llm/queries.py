@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import leakage, mojibake, tokenize
+from tarnwork.llm import consensus, leakage, mojibake, tokenize
 from tarnwork.sources.tables import table
 
 
@@ -27,6 +27,45 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore_text(_written_records(spark, sf_dir), "text")
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "individual_assessments").select(
+        F.lit("assessment").alias("origin"), F.col("assessment_id").alias("record_id"), F.col("answer_id").alias("vote_id"), consensus.clean_rater(F.col("rater")).alias("rater"), F.col("final_applicable").alias("label")
+    )
+    commits = table(spark, sf_dir, "summary_commit").select(F.col("commit_id").alias("record_id"), F.posexplode("is_generic_optimization").alias("k", "label"))
+    generic = commits.select(F.lit("commit").alias("origin"), "record_id", F.col("k").cast("long").alias("vote_id"), F.concat(F.lit("position_"), F.lpad((F.col("k") + 1).cast("string"), 2, "0")).alias("rater"), "label")
+    return answers.unionByName(generic)
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(_votes(spark, sf_dir))[0]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_items(spark, sf_dir).where("consensus").select("origin", "record_id")
+
+
+def p6_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.rater_table(_votes(spark, sf_dir))
+
+
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement_table(_votes(spark, sf_dir))
+
+
+P6_AGREEMENT_SQL = """
+WITH v AS (
+  SELECT DISTINCT 'assessment' AS origin, assessment_id AS record_id, answer_id AS vote_id, final_applicable AS label
+  FROM individual_assessments WHERE final_applicable IS NOT NULL
+  UNION ALL
+  SELECT 'commit', commit_id, k, is_generic_optimization[k]
+  FROM (SELECT DISTINCT commit_id, is_generic_optimization, unnest(generate_series(1, len(is_generic_optimization))) AS k FROM summary_commit)
+  WHERE is_generic_optimization[k] IS NOT NULL),
+per AS (SELECT origin, record_id, count(*) AS m, count(*) FILTER (label) AS t FROM v GROUP BY ALL HAVING count(*) > 1),
+s AS (SELECT origin, count(*) AS n_items, sum(m) AS n, sum(t) AS t, sum(2.0 * t * (m - t) / (m - 1)) AS o FROM per GROUP BY origin)
+SELECT origin, n_items, n::BIGINT AS n_votes, round(1 - o / (2.0 * t * (n - t) / (n - 1)), 6) AS alpha FROM s
+"""
+
+
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text")
 
@@ -35,5 +74,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+SQL: dict[str, str] = {"p6_agreement": P6_AGREEMENT_SQL}
