@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import consensus, leakage, mojibake, tokenize
+from tarnwork.llm import consensus, leakage, mojibake, syntax, tokenize
 from tarnwork.sources.tables import table
 
 
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "modified_file").where("kind IN ('before_func', 'after_func')")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(_functions(spark, sf_dir), file_id="file_id", path="file_path", content="content").select("file_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _functions(spark, sf_dir)
+    bad = syntax.invalid_files(files, file_id="file_id", path="file_path", content="content")
+    return syntax.invalid_rates(files, bad, file_id="file_id", path="file_path", content="content", repository="repository_name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -74,5 +88,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {"p6_agreement": P6_AGREEMENT_SQL}
