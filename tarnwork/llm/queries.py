@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import consensus, leakage, mojibake, syntax, tokenize
+from tarnwork.llm import consensus, leakage, mojibake, pairs, syntax, tokenize
 from tarnwork.sources.tables import table
 
 
@@ -23,6 +23,20 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(files, bad, file_id="file_id", path="file_path", content="content", repository="repository_name")
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "individual_assessments").where("error IS NULL").select(F.lit("answer").alias("origin"), F.col("answer_id").alias("record_id"), F.lit(0).alias("item"), "question", "explanation", "code_to_optimize", "optimized_code")
+    texts = rows.select("origin", "record_id", "item", F.lit("explanation").alias("kind"), "question", F.col("explanation").alias("answer"))
+    # both code fields are null, rightly, when the answer is "not applicable"
+    codes = rows.where("code_to_optimize IS NOT NULL OR optimized_code IS NOT NULL").select("origin", "record_id", "item", F.lit("code").alias("kind"), F.col("code_to_optimize").alias("question"), F.col("optimized_code").alias("answer"))
+    commits = table(spark, sf_dir, "summary_commit").select(F.lit("summary").alias("origin"), F.col("commit_id").alias("record_id"), F.posexplode("optimization_summary").alias("k", "answer"), F.col("message").alias("question"))
+    summaries = commits.select("origin", "record_id", (F.col("k") + 1).alias("item"), F.lit("summary").alias("kind"), "question", "answer")
+    return texts.unionByName(codes).unionByName(summaries)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_defects(_answers(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -88,5 +102,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {"p6_agreement": P6_AGREEMENT_SQL}
