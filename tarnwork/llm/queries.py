@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import consensus, leakage, mojibake, pairs, syntax, tokenize
+from tarnwork.llm import consensus, leakage, mojibake, pairs, similarity, syntax, tokenize
 from tarnwork.sources.tables import table
 
 
+def _ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = table(spark, sf_dir, "summary_commit")
+    final = commits.select(F.col("commit_id").alias("record_id"), F.col("optimization_summary_final").alias("text"))
+    described = commits.select(F.col("commit_id").alias("record_id"), F.filter("optimization_summary", lambda x: x.isNotNull()).alias("texts"))
+    return similarity.assign(final, described)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of commit_pair whose commits are in one group that is a recurring idea."""
+    group = _ideas(spark, sf_dir).where("recurring").select("record_id", "cluster_id")
+    given = table(spark, sf_dir, "commit_pair").select(F.least("commit_id_a", "commit_id_b").alias("commit_id_a"), F.greatest("commit_id_a", "commit_id_b").alias("commit_id_b")).where("commit_id_a < commit_id_b").distinct()
+    a = group.withColumnsRenamed({"record_id": "commit_id_a", "cluster_id": "a"})
+    b = group.withColumnsRenamed({"record_id": "commit_id_b", "cluster_id": "b"})
+    return given.join(a, "commit_id_a").join(b, "commit_id_b").where("a = b").select("commit_id_a", "commit_id_b")
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cluster_table(_ideas(spark, sf_dir))
+
+
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "modified_file").where("kind IN ('before_func', 'after_func')")
 
@@ -102,5 +122,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {"p6_agreement": P6_AGREEMENT_SQL}
