@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import consensus, leakage, mojibake, pairs, similarity, syntax, tokenize
+from tarnwork.llm import consensus, leakage, mojibake, pairs, reading, similarity, syntax, tokenize
 from tarnwork.sources.tables import table
 
 
@@ -122,5 +122,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_example"), table(spark, sf_dir, "eval_item"), doc_id="doc_id", text="text", kind="doc_kind")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p6_raters": p6_raters, "p6_agreement": p6_agreement, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found}
 SQL: dict[str, str] = {"p6_agreement": P6_AGREEMENT_SQL}
