@@ -15,7 +15,14 @@ from tarnwork.staging import delete_path, fresh_path, path_exists, rename_path
 #: Content bytes per output file, and sampled rows per output file for the boundaries.
 TARGET_BYTES = 64 * 1024 * 1024
 SAMPLE_PER_FILE = 400
-_KEY, _BYTES, _BUCKET = "__cluster_key", "__row_bytes", "__bucket"
+_KEY, _BYTES = "__cluster_key", "__row_bytes"
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until the table has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def byte_boundaries(keyed: DataFrame, n_files: int, rows: int, sample_per_file: int) -> np.ndarray:
@@ -63,7 +70,8 @@ def compact(
     want = marks.agg(*sums).first()
     n_files = max(1, ceil((want["bytes"] + 64 * want["rows"]) / target_bytes))
     bounds = byte_boundaries(df.select(key.alias(_KEY), (size + 64).alias(_BYTES)), n_files, want["rows"], sample_per_file) if n_files > 1 else np.array([], dtype=object)
-    keyed = df.withColumn("__mark", mark).dropDuplicates([row_id, "__mark"]).drop("__mark").withColumn(_KEY, key)
+    m, k, b = _free(df, "__mark"), _free(df, "__key"), _free(df, "__bucket")
+    keyed = df.withColumn(m, mark).dropDuplicates([row_id, m]).drop(m).withColumn(k, key)
     if len(bounds):
         shared = spark.sparkContext.broadcast(bounds)  # one string a file
 
@@ -71,11 +79,11 @@ def compact(
         def bucket(k: pd.Series) -> pd.Series:
             return pd.Series(np.searchsorted(shared.value, k.to_numpy(dtype=object), side="left").astype("int32"))
 
-        placed = keyed.withColumn(_BUCKET, bucket(_KEY)).repartitionById(len(bounds) + 1, F.col(_BUCKET)).drop(_BUCKET)
+        placed = keyed.withColumn(b, bucket(k)).repartitionById(len(bounds) + 1, F.col(b)).drop(b)
     else:
         placed = keyed.repartition(1)
     staged = fresh_path(spark, "compact")
-    placed.sortWithinPartitions(_KEY).drop(_KEY).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(staged)
+    placed.sortWithinPartitions(k).drop(k).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(staged)
     got = spark.read.parquet(staged).select(mark.alias("__mark"), size.alias("__size")).agg(*sums).first()
     if want != got:
         delete_path(spark, staged)

@@ -31,6 +31,11 @@ def _blocks(queries: DataFrame, order: str, size: int) -> Iterator[pd.DataFrame]
         last = pdf[order].iloc[-1].item() if hasattr(pdf[order].iloc[-1], "item") else pdf[order].iloc[-1]
 
 
+def _group(group: str, side: str):
+    """The group as text; a null one equals no group of the other side."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(side))
+
+
 def _rank(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "d_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -59,8 +64,8 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, *, id: str, vector: str,
     a query does not find itself. Repeated corpus rows of an id are one.
     """
     spark = corpus.sparkSession
-    docs = corpus.select(F.col(id).cast("long").alias("d_id"), F.col(vector).alias("v"), F.col(group).cast("string").alias("g")).dropDuplicates(["d_id"])
-    asked = queries.select(F.col(id).cast("long").alias("q_id"), F.col(vector).alias("v"), F.col(group).cast("string").alias("g")).dropDuplicates(["q_id"])
+    docs = corpus.select(F.col(id).cast("long").alias("d_id"), F.col(vector).alias("v"), _group(group, "d").alias("g")).dropDuplicates(["d_id"])
+    asked = queries.select(F.col(id).cast("long").alias("q_id"), F.col(vector).alias("v"), _group(group, "q").alias("g")).dropDuplicates(["q_id"])
     out = None
     for block in _blocks(asked, "q_id", QUERY_BLOCK):
         size = max([len(x) for x in block.v if x is not None], default=1)
@@ -90,17 +95,17 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, *, id: str, text: str, grou
 
     Statistics are over the whole corpus. A word in more than half of the texts gets ``EPSILON`` times the mean idf; a word
     repeated in the query counts again. All rows rank, also those of score 0 (by id); a query without a word has no
-    result; a null text is an empty one; repeated rows of an id are one.
+    result; a null text is an empty one; a null group differs from every group; repeated rows of an id are one.
     """
     spark = corpus.sparkSession
-    docs = corpus.select(F.col(id).cast("long").alias("d_id"), F.col(group).cast("string").alias("g"), tokens(F.col(text)).alias("t")).dropDuplicates(["d_id"])
+    docs = corpus.select(F.col(id).cast("long").alias("d_id"), _group(group, "d").alias("g"), tokens(F.col(text)).alias("t")).dropDuplicates(["d_id"])
     df = docs.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = docs.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
     idf = F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idfs = df.withColumn("idf", idf)
     mean = idfs.agg(F.avg("idf")).first()[0] or 0.0
     idfs = idfs.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf"))).select("w", "idf")
-    asked = queries.select(F.col(id).cast("long").alias("q_id"), F.col(group).cast("string").alias("g"), tokens(F.col(text)).alias("t")).dropDuplicates(["q_id"]).where(F.size("t") > 0)
+    asked = queries.select(F.col(id).cast("long").alias("q_id"), _group(group, "q").alias("g"), tokens(F.col(text)).alias("t")).dropDuplicates(["q_id"]).where(F.size("t") > 0)
     out = None
     for block in _blocks(asked, "q_id", QUERY_BLOCK // 10):
         wanted = sorted({w for ws in block.t for w in ws})  # bounded by the block

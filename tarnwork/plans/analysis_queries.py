@@ -270,7 +270,7 @@ i0 AS (SELECT w, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st),
 i AS (SELECT w, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
 qt AS (SELECT file_id AS q_id, w, count(*)::DOUBLE AS qc FROM (SELECT file_id, unnest(t) AS w FROM d WHERE file_id % 20 = 0) GROUP BY 1, 2),
 sc AS (SELECT q_id, tf.file_id AS d_id, sum(qc * idf * c * 2.5 / (c + 1.5 * (1 - 0.75 + 0.75 * len(d.t) / avgdl))) AS score FROM qt JOIN tf USING (w) JOIN i USING (w) JOIN d ON d.file_id = tf.file_id, st GROUP BY 1, 2),
-al AS (SELECT q.file_id AS q_id, d.file_id AS d_id, round(coalesce(sc.score, 0), 9) AS score FROM d q JOIN d ON q.file_id % 20 = 0 AND len(q.t) > 0 AND q.file_id <> d.file_id AND q.g IS DISTINCT FROM d.g LEFT JOIN sc ON sc.q_id = q.file_id AND sc.d_id = d.file_id)
+al AS (SELECT q.file_id AS q_id, d.file_id AS d_id, round(coalesce(sc.score, 0), 9) AS score FROM d q JOIN d ON q.file_id % 20 = 0 AND len(q.t) > 0 AND q.file_id <> d.file_id AND (q.g <> d.g OR q.g IS NULL OR d.g IS NULL) LEFT JOIN sc ON sc.q_id = q.file_id AND sc.d_id = d.file_id)
 SELECT q_id, d_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, d_id) AS rank FROM al) WHERE rank <= 20"""
 
 

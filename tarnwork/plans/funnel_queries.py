@@ -227,7 +227,7 @@ def common_in_all(spark, d):
 
 @query("common_in_both", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def common_in_both(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
     return setjoin.in_all([o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'")], "k")
 
 
