@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tarnwork.staging import stage
 
-MAX_ITERATIONS = 60
-TOLERANCE = 5e-4
+MAX_CYCLES = 40
+TOLERANCE = 1e-4
 #: Raters whose parameters are broadcast (some 50 bytes each); more are refused, not dropped.
 MAX_RATERS = 1_000_000
 # Pseudo-counts of competence and of the guesses.
@@ -92,47 +92,91 @@ def expectations(origin: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.nd
     return q, np.bincount(r, weight, size), np.bincount(r, weight * label, size)
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p) - np.log1p(-p)
+
+
+def _vector(m: Raters) -> np.ndarray:
+    return np.concatenate([_logit(m.competence), _logit(m.guess), _logit(np.array(list(m.prior.values())))])
+
+
+def _model(v: np.ndarray, like: Raters) -> Raters:
+    p = 1 / (1 + np.exp(-np.clip(v, -13, 13)))
+    n = len(like.competence)
+    return Raters(like.origin, like.rater, p[:n], p[n : 2 * n], like.votes, dict(zip(like.prior, p[2 * n :].tolist())))
+
+
+def _step(patterns: DataFrame, now: Raters, first: bool) -> tuple[Raters, float]:
+    """The model after one E- and M-step, and the log-likelihood of the given one."""
+    size = len(now.competence)
+    given = patterns.sparkSession.sparkContext.broadcast((now, first))
+
+    def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, start = given.value
+        guesses, of_true = np.zeros(len(model.competence)), np.zeros(len(model.competence))
+        t, x = model.competence, model.guess
+        if_false = np.stack([np.log(t + (1 - t) * (1 - x)), np.log((1 - t) * x)], axis=1)  # of "false" and "true" votes
+        true_items: dict[str, list[float]] = {}
+        likelihood = 0.0
+        for pdf in batches:
+            row, code, n = _flat(pdf.pattern)
+            o, items = pdf.origin.to_numpy(), pdf["items"].to_numpy(dtype="float64")
+            q, g, gt = expectations(o, row, code, n, items, model, start)
+            guesses += g
+            of_true += gt
+            prior = np.array([model.prior[k] for k in o])
+            p = np.clip(posterior(o, row, code, n, model), 1e-300, 1 - 1e-12)
+            likelihood += float((items * (np.log1p(-prior) + np.bincount(row, if_false[code // 2, code % 2] * n, len(o)) - np.log1p(-p))).sum())
+            for one in set(o):
+                was = true_items.setdefault(one, [0.0, 0.0])
+                was[0] += float((q * items)[o == one].sum())
+                was[1] += float(items[o == one].sum())
+        used = np.nonzero(guesses)[0]
+        keys = [*(f"r{k}" for k in used), *(f"o{k}" for k in true_items), "l"]
+        yield pd.DataFrame({"key": keys, "a": [*guesses[used], *(v[0] for v in true_items.values()), likelihood], "b": [*of_true[used], *(v[1] for v in true_items.values()), 0.0]})
+
+    sums = patterns.mapInPandas(e_step, "key string, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    given.unpersist()
+    guesses, of_true, prior, likelihood = np.zeros(size), np.zeros(size), dict(now.prior), 0.0
+    for key, a, b in zip(sums.key, sums.a, sums.b):
+        if key == "l":
+            likelihood = a
+        elif key[0] == "o":
+            prior[key[1:]] = min(max(a / b, 1e-3), 1 - 1e-3)
+        else:
+            guesses[int(key[1:])], of_true[int(key[1:])] = a, b
+    competence = (now.votes - guesses + COMPETENCE_PRIOR) / (now.votes + 2 * COMPETENCE_PRIOR)
+    guess = (of_true + GUESS_PRIOR) / (guesses + 2 * GUESS_PRIOR)
+    return Raters(now.origin, now.rater, np.clip(competence, 1e-6, 1 - 1e-6), np.clip(guess, 1e-6, 1 - 1e-6), now.votes, prior), likelihood
+
+
 def fit(patterns: DataFrame, raters: pd.DataFrame) -> Raters:
-    """``patterns``: origin, pattern, items. Raters are indexed as in ``raters`` (origin, rater, votes)."""
-    spark = patterns.sparkSession
+    """``patterns``: origin, pattern, items. Raters are indexed as in ``raters`` (origin, rater, votes).
+
+    Plain steps creep; two steps tell the direction and a squared extrapolation goes along it as far as the likelihood
+    does not fall.
+    """
     size = len(raters)
-    origins = sorted(set(raters.origin))
-    now = Raters(raters.origin.to_numpy(), raters.rater.to_numpy(), np.full(size, 0.7), np.full(size, 0.5), raters.votes.to_numpy(dtype="float64"), {o: 0.5 for o in origins})
-    for step in range(MAX_ITERATIONS):
-        given = spark.sparkContext.broadcast((now, step == 0))
-
-        def e_step(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
-            model, first = given.value
-            guesses, of_true = np.zeros(len(model.competence)), np.zeros(len(model.competence))
-            true_items: dict[str, list[float]] = {}
-            for pdf in batches:
-                row, code, n = _flat(pdf.pattern)
-                o, items = pdf.origin.to_numpy(), pdf["items"].to_numpy(dtype="float64")
-                q, g, gt = expectations(o, row, code, n, items, model, first)
-                guesses += g
-                of_true += gt
-                for one in set(o):
-                    was = true_items.setdefault(one, [0.0, 0.0])
-                    was[0] += float((q * items)[o == one].sum())
-                    was[1] += float(items[o == one].sum())
-            used = np.nonzero(guesses)[0]
-            yield pd.DataFrame({"key": [*map(str, used), *true_items], "a": [*guesses[used], *(v[0] for v in true_items.values())], "b": [*of_true[used], *(v[1] for v in true_items.values())]})
-
-        sums = patterns.mapInPandas(e_step, "key string, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
-        guesses, of_true, prior = np.zeros(size), np.zeros(size), dict(now.prior)
-        for key, a, b in zip(sums.key, sums.a, sums.b):
-            if key in prior:
-                prior[key] = min(max(a / b, 1e-3), 1 - 1e-3)
-            else:
-                guesses[int(key)], of_true[int(key)] = a, b
-        competence = (now.votes - guesses + COMPETENCE_PRIOR) / (now.votes + 2 * COMPETENCE_PRIOR)
-        guess = (of_true + GUESS_PRIOR) / (guesses + 2 * GUESS_PRIOR)
-        moved = max(np.abs(competence - now.competence).max(initial=0), np.abs(guess - now.guess).max(initial=0))
-        now = Raters(now.origin, now.rater, np.clip(competence, 1e-6, 1 - 1e-6), np.clip(guess, 1e-6, 1 - 1e-6), now.votes, prior)
-        given.unpersist()
-        if moved < TOLERANCE:
-            break
-    return now
+    start = Raters(raters.origin.to_numpy(), raters.rater.to_numpy(), np.full(size, 0.7), np.full(size, 0.5), raters.votes.to_numpy(dtype="float64"), {o: 0.5 for o in sorted(set(raters.origin))})
+    now, _ = _step(patterns, start, True)
+    safe, best = now, -np.inf  # what to go back to if an extrapolation was too bold
+    for _ in range(MAX_CYCLES):
+        one, likelihood = _step(patterns, now, False)
+        if likelihood < best - 1e-6 * abs(best):
+            now = safe
+            one, likelihood = _step(patterns, now, False)
+        best = max(best, likelihood)
+        two, _ = _step(patterns, one, False)
+        safe = two
+        x0, x1, x2 = _vector(now), _vector(one), _vector(two)
+        r, v = x1 - x0, x2 - 2 * x1 + x0
+        sure = np.concatenate([np.abs(one.competence - now.competence), np.abs(one.guess - now.guess)]).max(initial=0)
+        if sure < TOLERANCE:
+            return two
+        length = min(max(np.linalg.norm(r) / max(np.linalg.norm(v), 1e-12), 1.0), 50.0)
+        now = _model(x0 + 2 * length * r + length**2 * v, two)
+    return safe
 
 
 def _prepared(votes: DataFrame) -> tuple[DataFrame, DataFrame, pd.DataFrame]:
