@@ -163,8 +163,6 @@ def inversions(word: str, routes: list[tuple[str, str]]) -> list[tuple[str, str,
         nxt = []
         for w, how, asked in level:
             for written, read in routes:
-                if depth > 1 and written != "utf-8":
-                    continue  # repeated garbling is of programs that always write utf-8
                 c = ungarble(w, (written, read))
                 if c is None or c in seen:
                     continue
@@ -172,7 +170,7 @@ def inversions(word: str, routes: list[tuple[str, str]]) -> list[tuple[str, str,
                 kind = "other" if written != "utf-8" else "characters as utf-8" if read in MULTI_BYTE else "bytes as utf-8"
                 step = (c, f"{read}<{written}" + (f",{how}" if how else ""), max(asked, MARGIN[kind]))
                 out.append(step)
-                if written == "utf-8":
+                if written == "utf-8":  # repeated garbling is of programs that write utf-8; what came first may be anything
                     nxt.append(step)
         level = nxt
     return out
