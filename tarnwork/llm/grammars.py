@@ -12,7 +12,7 @@ from itertools import product
 
 _C = """
 top: piece*
-piece: temp* spec* declr tailq* inits? block / temp* simple ; / temp* spec* typedefn initds? ; / wd name? block / ; / Q : / q s block / q s piece / T simple ; / T w name ; / T name = type ;
+piece: temp* spec* declr tailq* = d ; / temp* spec* declr tailq* = z ; / temp* spec* declr tailq* inits? block / temp* simple ; / temp* spec* typedefn initds? ; / wd name? block / ; / Q : / q s block / q s piece / T simple ; / T w name ; / T name = type ;
 wd: w / q w
 temp: M < tlist? >
 spec: q / t / T / K name / k name / K / k / name
@@ -87,7 +87,7 @@ func: g? f star? i? ( params? ) block / f i ( params? ) block / f ( params? ) bl
 star: *
 params: param / param , params / param ,
 param: bind / ~ target
-klass: K i e expr { members* } / K i { members* } / K { members* } / K e expr { members* }
+klass: K i e expr { k members* } / K i { k members* } / K { k members* } / K e expr { k members* }
 members: mods key ( params? ) block / key ( params? ) block / key = expr ; / key ; / i block / ;
 mods: g / * / i / g *
 key: i / n / s / [ expr ] / kw

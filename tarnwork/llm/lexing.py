@@ -51,6 +51,8 @@ _C_OPAQUE = re.compile(
 _C_MARKER = re.compile(_C_OPAQUE.pattern + r"|(?P<marker><{7}|={7}|>{7}|\|{7})", re.S)
 _C_RAW = re.compile(r'(?P<comment>//(?:[^\n\\]|\\.|\\\n)*|/\*.*?\*/)|(?:u8|u|U|L)?R"(?P<fence>[^()\\\s]{0,16})\(.*?\)(?P=fence)"|"(?:[^"\\\n]|\\.|\\\r?\n)*"', re.S)
 _MARKS = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
+#: Heads that other languages have; as C they would declare a name of a type "function", "let" or "def".
+_FOREIGN_HEAD = re.compile(r"^[ \t]*(?:(?:async[ \t]+)?function[ \t]+\w+[ \t]*\(|(?:let|var)[ \t]+\w+[ \t]*[=;]|def[ \t]+\w+[ \t]*\()", re.M)
 _SEPARATED = re.compile(r"\b\d[\w.]*(?:'[\w.]+)+")
 _JS_RE = re.compile(
     rf"{_MARKER}|(?P<blank>\s+|//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:[^\"\\\n]|\\.|\\\r?\n)*\"|'(?:[^'\\\n]|\\.|\\\r?\n)*')"
@@ -162,6 +164,8 @@ def lex_c(text: str, cpp: bool) -> list[str]:
 
     if 'R"' in text and cpp:
         text = _C_RAW.sub(lambda m: ' "" ' if m.group("fence") is not None else m.group(), text)
+    if _FOREIGN_HEAD.search(text):
+        text = _FOREIGN_HEAD.sub(" ` ", text)
     if "'" in text and _SEPARATED.search(text):
         text = _SEPARATED.sub(lambda m: m.group().replace("'", ""), text)
     plain = (_C_MARKER if any(k in text for k in _MARKS) else _C_OPAQUE).sub(put, text)
@@ -254,11 +258,11 @@ def lex_js(text: str) -> list[str]:
         elif kind == "punct":
             if v == "{":
                 block = prev in ("", ")", "O", "E", "D", "Y", "y", "{", "}", ";", "H") or _class_head(out) or (prev == ":" and not (stack and stack[-1] in "u("))
-                if prev == ")" and stack and False:
-                    block = True
                 c = "{" if block else "u"
                 stack.append(c)
                 add(c)
+                if block and prev not in ("", ")", "O", "E", "D", "Y", "y", "{", "}", ";", "H", ":"):
+                    add("k")
             elif v == "}":
                 while stack and stack[-1] == "(":
                     stack.pop()

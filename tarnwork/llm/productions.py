@@ -30,7 +30,7 @@ _C_EXPR = rf"{_C_UNARY}(?:{_C_BIN}{_C_UNARY})*"
 _C_ELEM = rf"(?:(?:\.i|J)+=)?(?:{_C_EXPR}|U)~?"
 _C_SPEC = r"(?:q|t|T|(?:[Kk]i?[iU]?)|i)"
 _C_DECLR = rf"(?:[*&@q])*(?:i|A(?=[AZ1])|O[^;,]{{1,3}})?(?:J|A|Z|1)*(?:=(?:{_C_EXPR}|U)|U)?(?::n)?"
-_C_DECL = rf"{_C_SPEC}+(?:[*&@q])*(?:i|A(?=[AZ1])|J)(?:J|A|Z|1)*(?:q|qA)*(?:=(?:{_C_EXPR}|U)|U)?(?::n)?(?:,{_C_DECLR})*"
+_C_DECL = rf"{_C_SPEC}+(?:[*&@q])*(?:i|A(?=[AZ1])|J)(?:J|A|Z|1)*(?:q|qA)*(?:=(?:{_C_EXPR}|U|[dz])|U)?(?::n)?(?:,{_C_DECLR})*"
 _C_PARAM = rf"(?:{_C_SPEC}+(?:[*&@q])*~?(?:i|A(?=[AZ1]))?(?:J|A|Z|1)*(?:=(?:{_C_EXPR}|U))?|~|t)"
 
 
@@ -53,6 +53,7 @@ class _C:
         )
         self.letter = {"if": "I", "for": "F", "while": "W", "switch": "S", "do": "D", "else": "E", "try": "Y", "catch": "H", "label": "L", "block": "b", "simple": "k"}
         func = rf"(?:M)*{_C_SPEC}*[*&@q]*(?:!?i|O.{{1,3}})(?:[AZ1]|(?=Z))[AZ1]?(?:q|qA|&|@|\.[it]+[*&]*)*(?::i[AUZ](?:,i[AUZ])*)?b"
+        func = rf"(?:{func}|(?:M)*{_C_SPEC}*[*&@q]*!?i[AZ1](?:q|&|@)*=[dz];)"
         ktype = rf"(?:M)*(?:[qT])*[Kk]i?(?:q|:[^;b]*)?[bU](?:{_C_DECLR}(?:,{_C_DECLR})*)?;"
         self.top = full(rf"(?:{func};?|{ktype}|(?:M)*{_C_DECL};|T[^;{{}}b]*;|w[iV]*b|Ts?b|;|qs[b]|Q:)+")
         self.klass = full(rf"(?:{func};?|{ktype}|(?:M)*{_C_DECL};|T[^;{{}}b]*;|Q:|;)*")
@@ -232,7 +233,7 @@ class _JavaScript:
             rf"|(?P<simple>(?:M?l{many}|R(?:{many})?|Bi?|M?T[^;b]*|Md?{many}|{many})?;)"
         )
         self.letter = {"if": "I", "for": "F", "while": "W", "switch": "S", "do": "D", "else": "E", "try": "Y", "catch": "H", "finally": "y", "label": "L", "block": "b", "simple": "k"}
-        self.klass = full(rf"(?:(?:g|\*|i)*{key}[AZ1]b|i?(?:i|J)(?:={_J_EXPR})?;|ib|;)*")
+        self.klass = full(rf"k(?:(?:g|\*|i)*{key}[AZ1]b|i?(?:i|J)(?:={_J_EXPR})?;|ib|;)*")
         self.group = lru_cache(MEMORY)(self._group)
 
     def pre(self, s: str) -> str:
@@ -270,9 +271,8 @@ class _JavaScript:
 
     def _block(self, inner: str) -> str:
         inner = self.arrows(inner)
-        if inner and inner[-1] not in ";b:":
+        if inner and inner[-1] not in ";b:k":
             inner += ";"
-        inner = re.sub(r"(?<=[^;b:{])(?=\Z)", ";", inner)
         kinds, pos = [], 0
         while pos < len(inner):
             m = self.statement.match(inner, pos)

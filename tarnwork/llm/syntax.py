@@ -32,17 +32,20 @@ def insert_semicolons(codes: str, fresh: str, permitted: frozenset[str]) -> str:
     """JavaScript codes with the semicolons that line breaks, closing braces and the end of the text stand for."""
     out: list[str] = []
     parens: list[str] = []
+    head = False  # whether the bracket just closed belongs to if, for, while, switch or catch
     for c, new in zip(codes, fresh):
         prev = out[-1] if out else "^"
-        if prev not in ";^{" and (not parens or parens[-1] == "{"):
-            if new == "1" and (prev + c not in permitted or prev in "RB" or c == "x" or (prev in "inv)]s" and c in "i")):
+        if prev not in ";^{k" and (not parens or parens[-1] == "{"):
+            if new == "1" and (prev == ")" and not head and c in "inslRIFWDSCdBYfKgTMxz"):
+                out.append(";")
+            elif new == "1" and (prev + c not in permitted or prev in "RB" or c == "x" or (prev in "inv)]s" and c in "i")):
                 out.append(";")
             elif c == "}" and prev + c not in permitted:
                 out.append(";")
         if c in "([{up":
-            parens.append(c)
+            parens.append("h" if c == "(" and prev in "IFWSH" else c)
         elif c in ")]}vP" and parens:
-            parens.pop()
+            head = parens.pop() == "h"
         out.append(c)
     if out and out[-1] not in ";}":
         out.append(";")
