@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.staging import stage
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column], keep_null_keys: bool = False) -> DataFrame:
     """The first row of each key by ``order``. Rows with a null key are one group, or all kept with ``keep_null_keys``."""
@@ -17,21 +19,36 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column], kee
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-
+    """Adds the place of each row in its group.
 
-def budgeted_pick(df: DataFrame, group: str, order: list[str | Column], length: str, budget: int = 10, longest: int = 2000) -> DataFrame:
+    Rows are put in ranges of (group, order), so that a large group lies in several; places within a range are then moved by
+    the counts of the group's earlier ranges. No task holds a whole group.
+    """
+    p, i, b = (f"_{x}_{name}" for x in "pib")
+    # staged: the ranges come from a sample and would differ if they were computed twice
+    ranged = stage(df.repartitionByRange(*group, *order).withColumn(p, F.spark_partition_id()), "ranges")
+    local = ranged.withColumn(i, F.row_number().over(Window.partitionBy(p, *group).orderBy(*order)))
+    counts = local.groupBy(p, *group).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn(b, F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col(p).alias("_p2"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], b)
+    on = F.col(p) == F.col("_p2")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    out = local.join(before, on)
+    return out.withColumn(name, (F.col(i) + F.col(b)).cast("int")).drop(p, i, b, "_p2", *[f"_g{k}" for k in range(len(group))])
+
+
+def budgeted_pick(df: DataFrame, group: str, order: list[str], length: str, budget: int = 10, longest: int = 2000) -> DataFrame:
     """Walks each group in order and takes up to ``budget`` rows, skipping those longer than ``longest`` unless last.
 
-    Adds pos, take order ``picked`` and ``truncated``. A null length counts as 0.
+    Adds ``picked`` (the place among the taken) and ``truncated``. A null length counts as 0. What can be taken is the first
+    ``budget`` short rows and the last row, so that is all of a group that a task ever orders.
     """
-    by = Window.partitionBy(group).orderBy(*order)
-    last = Window.partitionBy(group)
-    pos = df.withColumn("pos", F.row_number().over(by)).withColumn("_n", F.count(F.lit(1)).over(last))
     long = F.coalesce(F.col(length), F.lit(0)) > longest
-    fit = pos.withColumn("_fit", (~long | (F.col("pos") == F.col("_n"))).cast("int"))
-    run = F.sum("_fit").over(Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return fit.withColumn("picked", run).where((F.col("_fit") == 1) & (F.col("picked") <= budget)).withColumn("truncated", long).drop("_fit", "_n")
+    by = Window.partitionBy(group).orderBy(*order)
+    short = df.where(~long).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= budget).drop("_n")
+    last = df.groupBy(group).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_l")).select("_l.*").where(long)
+    both = short.unionByName(last)
+    return both.withColumn("picked", F.row_number().over(by)).where(F.col("picked") <= budget).withColumn("truncated", long)
 
 
 def quota_sample(df: DataFrame, is_a: Column, quota: int, total: int, order_a: list[str | Column], seed_order: list[str | Column]) -> DataFrame:
@@ -46,7 +63,8 @@ def slices(df: DataFrame, order: list[str], size: int, parts: int) -> DataFrame:
 
     Positions come from counts per range partition, so that no task holds the whole order.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    # staged: the ranges come from a sample and would differ if they were computed twice
+    ranged = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)), "ranges")
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     rn = F.col("_b") + F.col("_i")
@@ -70,7 +88,8 @@ def references_for(members: DataFrame, cluster: str, key: str, most: int = 3) ->
     The candidates are the first ``most`` + 1 of a cluster in that order, so the join stays linear in the members.
     """
     order = [F.md5(F.col(key).cast("string")), F.col(key)]
-    pool = rank_in_group(members.select(cluster, key).distinct(), [cluster], order).where(F.col("rank") <= most + 1).select(F.col(cluster).alias("_c"), F.col(key).alias("reference"), F.col("rank").alias("_r"))
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(*order))
+    pool = members.select(cluster, key).distinct().withColumn("rank", place).where(F.col("rank") <= most + 1).select(F.col(cluster).alias("_c"), F.col(key).alias("reference"), F.col("rank").alias("_r"))
     both = members.select(cluster, key).distinct().join(pool, (F.col(cluster) == F.col("_c")) & (F.col(key) != F.col("reference")))
     w = Window.partitionBy(cluster, key).orderBy("_r")
     return both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select(cluster, key, "reference", "n")

@@ -83,10 +83,10 @@ def authority_rank(spark, d):
 
 @query("budgeted_pick", """WITH p AS (SELECT DISTINCT source, doc_id, n_chars FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY source) AS n FROM p),
 e AS (SELECT *, (coalesce(n_chars, 0) <= 700 OR pos = n)::INT AS fit FROM q), r AS (SELECT *, sum(fit) OVER (PARTITION BY source ORDER BY pos ROWS UNBOUNDED PRECEDING) AS picked FROM e)
-SELECT source, doc_id, pos, picked::BIGINT AS picked, coalesce(n_chars, 0) > 700 AS truncated FROM r WHERE fit = 1 AND picked <= 10""")
+SELECT source, doc_id, picked::BIGINT AS picked, coalesce(n_chars, 0) > 700 AS truncated FROM r WHERE fit = 1 AND picked <= 10""")
 def budgeted_pick(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars").distinct()
-    return windows.budgeted_pick(docs, "source", ["doc_id"], "n_chars", 10, 700).select("source", "doc_id", "pos", "picked", "truncated")
+    return windows.budgeted_pick(docs, "source", ["doc_id"], "n_chars", 10, 700).select("source", "doc_id", "picked", "truncated")
 
 
 # ---- clusters and coverage

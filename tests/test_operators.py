@@ -54,10 +54,20 @@ def test_survival_curve(spark):
 
 def test_budgeted_pick_takes_a_long_last_row(spark):
     df = spark.createDataFrame([("c", 1, 5000), ("c", 2, None), ("c", 3, 9000)], "c string, o int, n int")
-    got = windows.budgeted_pick(df, "c", ["o"], "n").orderBy("pos").collect()
+    got = windows.budgeted_pick(df, "c", ["o"], "n").orderBy("picked").collect()
     assert [(r.o, r.truncated) for r in got] == [(2, False), (3, True)]
 
 
+def test_ranks_of_a_group_over_several_ranges(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["hot"] * 9 + ["a", None]), i, rnd.randrange(50)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, k int, s int")
+    got = {r.k: r["rank"] for r in windows.rank_in_group(df, ["g"], [F.desc("s"), "k"]).collect()}
+    for g in ("hot", "a", None):
+        assert [k for _, k in sorted((-s, k) for h, k, s in rows if h == g)] == sorted((k for h, k, _ in rows if h == g), key=got.get)
+        assert sorted(got[k] for h, k, _ in rows if h == g) == list(range(1, sum(h == g for h, _, _ in rows) + 1))
+
+
 def test_votes_ties_nulls_and_na(spark):
     df = spark.createDataFrame([(1, True, 2, "b"), (1, False, 1, "a"), (2, None, 1, "c"), (3, True, 1, "d"), (3, True, 2, "e"), (3, False, 3, "f")], "k int, v boolean, t int, e string")
     got = {r.k: (r.winner, r.confidence, r.explanation) for r in votes.majority_vote(df, ["k"], "v", "t", "e").collect()}
