@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tarnwork.llm import grammars, lexing, productions
 from tarnwork.staging import stage
 
+SALTS = 16
 _OPEN, _CLOSE = "([{u", ")]}v"
 
 
@@ -111,8 +112,10 @@ def invalid_files(files: DataFrame, *, file_id: str, path: str, content: str) ->
     codes = stage(lexed(files, file_id, path, content), "token_codes")
     pairs = codes.select("file_id", "language", F.explode("pairs").alias("pair"))
     odd = pairs.join(F.broadcast(permissible_pairs(spark)), ["language", "pair"], "left_anti").select("file_id", "language").distinct()
-    unpaired = badly_nested(codes)
-    nested = codes.join(unpaired, "brackets", "left_semi").select("file_id", "language").distinct()
+    # one bracket string may be that of a third of all files: it is met under salts
+    unpaired = badly_nested(codes).select("brackets", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = codes.select("file_id", "language", "brackets", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    nested = salted.join(unpaired, ["brackets", "salt"], "left_semi").select("file_id", "language").distinct()
 
     @F.pandas_udf("boolean")
     def holds(language: pd.Series, codes: pd.Series) -> pd.Series:
