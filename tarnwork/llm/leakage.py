@@ -223,6 +223,27 @@ class Finder:
         return out
 
 
+def without_passages(text: str, finder: Finder, share: float = 0.4) -> str:
+    """``text`` without the sentences of which at least ``share`` of the words lie in runs of test items' words."""
+    found = words(text)
+    flat = " " + " ".join([w for w, _, _ in found]) + " "
+    ends = np.cumsum([len(w) + 1 for w, _, _ in found])
+    covered = np.zeros(len(found), dtype=bool)
+    for end, _ in finder.automaton.iter(flat):
+        last = int(np.searchsorted(ends, end))
+        covered[max(0, last - SEED + 1) : last + 1] = True
+    out, start, done = [], 0, 0
+    for i in range(len(found)):
+        stop = i + 1 == len(found)
+        if stop or re.search(r"[.!?]|\n[ \t]*\n", text[found[i][2] : found[i + 1][1]]):
+            a, b = found[start][1], len(text) if stop else found[i + 1][1]
+            if covered[start : i + 1].mean() >= share:
+                out.append(text[done:a] + "\n")
+                done = b
+            start = i + 1
+    return "".join(out) + text[done:]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, start, end): each item of which a passage occurs in a document, with a place of it.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.leakage import Finder, own_words, without_shared_opening
+from tarnwork.llm.leakage import Finder, own_words, without_passages, without_shared_opening
 from tarnwork.llm.pairs import FUNCTION_WORDS
 
 LINE_SAMPLE = 3000  # documents of known kind for the model of prose lines
@@ -302,12 +302,8 @@ def level_of(text: str | None, model: Model, finder: Finder | None) -> int | Non
         return None
     if len(_DIFF.findall(text)) >= 2:
         return None
-    if finder is not None:
-        for _, a, b in sorted(finder.find(text), key=lambda h: -h[1]):
-            # the sentences the passage stands in
-            lo = max(text.rfind("\n", 0, a), text.rfind(". ", 0, a)) + 1
-            hi = min([k for k in (text.find("\n", b), text.find(". ", b)) if k >= 0], default=len(text))
-            text = text[:lo] + "\n" + text[hi:]
+    if finder is not None and finder.find(text):
+        text = without_passages(text, finder)
     lines, words, everything = prose_of(text, model.lines, model.rarity)
     parts = stretches(lines)
     if not parts or words < MIN_WORDS or words < MAIN_SHARE * everything:

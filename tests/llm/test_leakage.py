@@ -1,6 +1,6 @@
 import random
 
-from tarnwork.llm.leakage import Finder, find_leaks, holds_passage, without_shared_opening, words
+from tarnwork.llm.leakage import Finder, find_leaks, holds_passage, without_passages, without_shared_opening, words
 
 NOUNS = "engine ladder marble copper window basket harbor violin meadow pepper saddle timber ribbon walnut candle anchor".split()
 
@@ -103,3 +103,9 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_WORDS", 100)
     got = find_leaks(df, items, doc_id="doc_id", text="text", item_id="item_id", item_text="item_text").collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in ITEMS]
+
+
+def test_passages_are_cut_out_with_their_sentences():
+    text = "Plain words stand before it. " + ITEMS[6] + ". And plain words stand after it."
+    got = without_passages(text, Finder([(6, ITEMS[6].split())]))
+    assert got.split() == "Plain words stand before it. And plain words stand after it.".split()
