@@ -15,6 +15,8 @@ from tarnwork.staging import delete_path, fresh_path, path_exists, rename_path
 #: Content bytes per output file, and sampled rows per output file for the boundaries.
 TARGET_BYTES = 64 * 1024 * 1024
 SAMPLE_PER_FILE = 400
+#: Bounds of what reaches the driver: ranges, and sampled rows. A table of more files than ranges gets several files a range.
+MAX_RANGES, MAX_SAMPLE = 10_000, 1_000_000
 _KEY, _BYTES = "__cluster_key", "__row_bytes"
 
 
@@ -30,7 +32,7 @@ def byte_boundaries(keyed: DataFrame, n_files: int, rows: int, sample_per_file:
 
     The sample only places the boundaries; every row is written whatever it says.
     """
-    share = min(1.0, sample_per_file * n_files / max(rows, 1))
+    share = min(1.0, min(sample_per_file * n_files, MAX_SAMPLE) / max(rows, 1))
     got = keyed.select(_KEY, _BYTES)
     if share < 1:
         got = got.sample(fraction=share, seed=7)
@@ -69,7 +71,8 @@ def compact(
     sums = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("__size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.pmod("__mark", F.lit(1 << 31))), F.lit(0)).alias("checksum")]
     want = marks.agg(*sums).first()
     n_files = max(1, ceil((want["bytes"] + 64 * want["rows"]) / target_bytes))
-    bounds = byte_boundaries(df.select(key.alias(_KEY), (size + 64).alias(_BYTES)), n_files, want["rows"], sample_per_file) if n_files > 1 else np.array([], dtype=object)
+    n_ranges = min(n_files, MAX_RANGES)
+    bounds = byte_boundaries(df.select(key.alias(_KEY), (size + 64).alias(_BYTES)), n_ranges, want["rows"], sample_per_file) if n_files > 1 else np.array([], dtype=object)
     m, k, b = _free(df, "__mark"), _free(df, "__key"), _free(df, "__bucket")
     keyed = df.withColumn(m, mark).dropDuplicates([row_id, m]).drop(m).withColumn(k, key)
     if len(bounds):
@@ -83,7 +86,7 @@ def compact(
     else:
         placed = keyed.repartition(1)
     staged = fresh_path(spark, "compact")
-    placed.sortWithinPartitions(k).drop(k).write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(staged)
+    placed.sortWithinPartitions(k).drop(k).write.option("compression", "zstd").option("maxRecordsPerFile", ceil(want["rows"] / n_files) if n_files > n_ranges else 0).parquet(staged)
     got = spark.read.parquet(staged).select(mark.alias("__mark"), size.alias("__size")).agg(*sums).first()
     if want != got:
         delete_path(spark, staged)

@@ -65,6 +65,17 @@ def test_compaction_keeps_every_record_once(spark, target):
     assert again["rows"] == len(rows)
 
 
+def test_more_files_than_ranges(spark, monkeypatch):
+    from tarnwork.operators import compaction
+
+    monkeypatch.setattr(compaction, "MAX_RANGES", 2)
+    rows = [(i, f"r{i % 7}", "x" * 100, 0, 0) for i in range(400)]
+    dest = fresh_path(spark, "compact-ranges")
+    compact(spark.createDataFrame(rows, SCHEMA), dest, row_id="file_id", cluster_by=["repo"], content="content", target_bytes=8_000)
+    back = spark.read.parquet(dest)
+    assert back.count() == 400 and 8 <= len(back.inputFiles()) <= 12
+
+
 def test_compaction_swaps_only_after_reconciling(spark):
     dest = fresh_path(spark, "compact-swap")
     df = spark.createDataFrame([(1, "a", "one", 0, 0)], SCHEMA)
