@@ -128,7 +128,7 @@ def company(described: DataFrame, vocab: list[str]) -> np.ndarray:
     part = described.mapInPandas(count, "block int, data binary").withColumn("salt", F.spark_partition_id() % 16)
     once = part.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(pdf), "block int, data binary")
     rows = once.groupBy("block").applyInPandas(add, "block int, data binary").collect()
-    out = np.zeros((size, size))
+    out = np.zeros((size, size), dtype="float32")
     for r in rows:
         flat = np.frombuffer(zlib.decompress(r["data"]), dtype="float32")
         out[r.block : r.block + BLOCK] = flat.reshape(-1, size)
@@ -150,22 +150,27 @@ def leading(m: np.ndarray, d: int, more: int = 24, steps: int = 14) -> tuple[np.
 def space_of(vocab: list[str], c: np.ndarray) -> Space:
     if not vocab:
         return Space({}, np.zeros((0, 1)), np.zeros(0))
-    apart = c.copy()
-    np.fill_diagonal(apart, 0)
-    rows = apart.sum(axis=1)
-    total = max(rows.sum(), 1.0)
-    overall = rows / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = apart / np.maximum(rows, 1)[:, None]
-        kl = np.where(p > 0, p * np.log(p / np.maximum(overall, 1e-12)[None, :]), 0).sum(axis=1)
+    own = np.diagonal(c).copy()
+    rows = c.sum(axis=1) - own
+    overall = rows / max(rows.sum(), 1.0)
+    kl = np.zeros(len(vocab))
+    for lo in range(0, len(vocab), BLOCK):  # by blocks of rows: the matrix is there once
+        p = c[lo : lo + BLOCK].astype("float64")
+        p[np.arange(len(p)), np.arange(lo, lo + len(p))] = 0
+        p /= np.maximum(rows[lo : lo + BLOCK], 1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            kl[lo : lo + BLOCK] = np.where(p > 0, p * np.log(p / np.maximum(overall, 1e-12)[None, :]), 0).sum(axis=1)
     weight = np.clip(kl - SPECIFIC, 0, 1.5)
     keep = np.nonzero(weight > 0)[0]
     if not len(keep):
         return Space({}, np.zeros((0, 1)), np.zeros(0))
-    full = c.sum(axis=1)
-    expected = np.outer(full[keep], full[keep]) / max(full.sum(), 1.0)
-    pmi = np.log(np.maximum(c[np.ix_(keep, keep)] / np.maximum(expected, 1e-9), 1.0))
-    values, vectors = leading((pmi + pmi.T) / 2, min(DIMENSIONS, len(keep)))
+    full = c.sum(axis=1, dtype="float64")
+    pmi = c[np.ix_(keep, keep)].astype("float64")
+    pmi *= max(full.sum(), 1.0)
+    pmi /= np.maximum(full[keep], 1e-9)[:, None]
+    pmi /= np.maximum(full[keep], 1e-9)[None, :]
+    np.log(np.maximum(pmi, 1.0, out=pmi), out=pmi)
+    values, vectors = leading(pmi, min(DIMENSIONS, len(keep)))
     e = vectors * np.sqrt(np.maximum(values, 0))
     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
     return Space({vocab[i]: k for k, i in enumerate(keep)}, (e * weight[keep][:, None]).astype("float32"), weight[keep])
@@ -275,6 +280,11 @@ class CFTree:
 _CF = "part long, n double, ls array<double>, ss double"
 
 
+def _entry_rows(part: int, e: list[tuple[float, np.ndarray, float]]) -> pd.DataFrame:
+    out = pd.DataFrame({"part": [part] * len(e), "n": [x[0] for x in e], "ls": pd.Series([x[1] for x in e], dtype="object"), "ss": [x[2] for x in e]})
+    return out.astype({"part": "int64", "n": "float64", "ss": "float64"})
+
+
 def leaf_summaries(points: DataFrame) -> list[tuple[float, np.ndarray, float]]:
     """Leaf entries of all points (v array<float>, n long): a tree per partition, then trees of trees, eight to one."""
 
@@ -285,15 +295,13 @@ def leaf_summaries(points: DataFrame) -> list[tuple[float, np.ndarray, float]]:
             for v, n in zip(pdf.v, pdf.n):
                 x = np.asarray(v, dtype="float64")
                 tree.add(float(n), x * n, float(x @ x) * n)
-        e = tree.entries()
-        yield pd.DataFrame({"part": [pid or 0] * len(e), "n": [x[0] for x in e], "ls": [x[1] for x in e], "ss": [x[2] for x in e]})
+        yield _entry_rows(pid or 0, tree.entries())
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = CFTree()
         for n, ls, ss in sorted(zip(pdf.n, pdf.ls, pdf.ss), key=lambda e: (-e[0], e[2], tuple(e[1][:4]))):
             tree.add(n, np.asarray(ls), ss)
-        e = tree.entries()
-        return pd.DataFrame({"part": [int(key[0])] * len(e), "n": [x[0] for x in e], "ls": [x[1] for x in e], "ss": [x[2] for x in e]})
+        return _entry_rows(int(key[0]), tree.entries())
 
     parts = max(1, points.rdd.getNumPartitions())
     level = points.withColumn("part", F.spark_partition_id().cast("long")).select("part", "v", "n").mapInPandas(build, _CF)
