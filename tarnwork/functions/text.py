@@ -197,3 +197,12 @@ def word_count(c: Column) -> Column:
 def cluster_name(label: Column) -> Column:
     """Labels counted from 1; -1 is noise."""
     return F.when(label == -1, F.lit("noise")).otherwise((label + 1).cast("string"))
+
+
+def pretty_json(c: Column, schema: str) -> Column:
+    """A JSON text of the given schema, indented; null where it does not parse."""
+    return F.to_json(F.from_json(c, schema), {"pretty": "true"})
+
+
+def kb_to_gb(c: Column) -> Column:
+    return c / 1048576

@@ -205,3 +205,11 @@ def choose_k(df: DataFrame, key: str, vector: str, ks: range = range(2, 16)) ->
 def noise_share(df: DataFrame, cluster: str) -> DataFrame:
     """One row: clusters, noise rows, share of noise."""
     return df.agg(F.count_distinct(F.when(F.col(cluster) != -1, F.col(cluster))).alias("clusters"), F.count_if(F.col(cluster) == -1).alias("noise"), F.round(F.avg((F.col(cluster) == -1).cast("double")), 6).alias("share"))
+
+
+def inertia(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """(cluster, size, inertia): squared distances to the centroid, from sums alone: Σ|v|² − |Σv|² / n."""
+    v = df.select(cluster, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    own = v.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.sum(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)).alias("_ss"))
+    sums = v.select(cluster, F.posexplode("_v").alias("_i", "_x")).groupBy(cluster, "_i").agg(F.sum("_x").alias("_s")).groupBy(cluster).agg(F.sum(F.col("_s") * F.col("_s")).alias("_ls2"))
+    return own.join(sums, cluster).select(cluster, "size", (F.col("_ss") - F.col("_ls2") / F.col("size")).alias("inertia"))

@@ -160,3 +160,9 @@ def unified_diff(df: DataFrame, before: str, after: str, output: str = "diff") -
         return pd.Series(["".join(difflib.unified_diff((x or "").splitlines(keepends=True), (y or "").splitlines(keepends=True), "before", "after")) for x, y in zip(b, a)])
 
     return df.withColumn(output, diff(before, after))
+
+
+def change_report(changed: DataFrame, key: list[str]) -> DataFrame:
+    """(key, report): the changes of a key as JSON, in order."""
+    fields = [c for c in changed.columns if c not in key]
+    return changed.groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("report"))

@@ -105,3 +105,21 @@ def cross_table(df: DataFrame, a: str, b: str, values: list[str] = CATEGORIES) -
     grid = spark.createDataFrame([(x, y) for x in values for y in values], f"{a} string, {b} string")
     counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def has_results(metrics: Column, benches: list[str]) -> Column:
+    """Whether a map of bench to metrics has a non-empty map for each bench; null is false."""
+    out = F.lit(True)
+    for b in benches:
+        out = out & (F.coalesce(F.size(F.element_at(metrics, F.lit(b))), F.lit(0)) > 0)
+    return F.coalesce(out, F.lit(False))
+
+
+def no_results(metrics: Column) -> Column:
+    """Null or an empty map."""
+    return metrics.isNull() | (F.size(metrics) == 0)
+
+
+def explode_results(df: DataFrame, keys: list[str], metrics: str) -> DataFrame:
+    """Long form of a map of bench to map of metric to value."""
+    return df.select(*keys, F.explode(metrics).alias("bench", "_m")).select(*keys, "bench", F.explode("_m").alias("metric", "value"))

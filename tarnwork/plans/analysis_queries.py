@@ -412,3 +412,33 @@ def query_stream_upsert(spark, d):
     out = spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     delete_path(spark, src)
     return out
+
+
+@query("cluster_inertia", "WITH u AS (SELECT label, unnest(generate_series(1, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, vec_id FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2) SELECT label, count(DISTINCT vec_id) AS size, round(sum((x - m) ** 2), 4) AS inertia FROM u JOIN m USING (label, i) GROUP BY 1")
+def cluster_inertia(spark, d):
+    return clusters.inertia(embeddings(spark, d), "label", "embedding").select("label", "size", F.round("inertia", 4).alias("inertia"))
+
+
+@query("nested_metrics", "SELECT l_suppkey AS hash, l_returnflag AS bench, sum(l_quantity) AS value FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A') AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N') GROUP BY 1, 2")
+def nested_metrics(spark, d):
+    """Maps of bench to metrics, kept where both benches have results, and back to long form."""
+    per = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("hash"), "l_returnflag").agg(F.sum("l_quantity").alias("v"))
+    nested = per.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.create_map(F.lit("quantity"), "v")))).alias("m"))
+    return perf.explode_results(nested.where(perf.has_results(F.col("m"), ["A", "N"])), ["hash"], "m").select("hash", "bench", "value")
+
+
+@query("change_reports")
+def change_reports(spark, d):
+    return codefn.change_report(diff_attribution(spark, d), ["repository_name", "hash", "file_path"])
+
+
+@query("funnel_pipeline", "WITH c AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY loaded_at) AS n FROM all_commit) WHERE n = 1) SELECT count(*) AS one_file FROM c WHERE modified_files_count = 1")
+def funnel_pipeline(spark, d):
+    """The funnel as a pipeline of written tables; the first stage is counted, and a second run finds all tables made."""
+    from tarnwork.plans.funnel_queries import commits
+    from tarnwork.plans.pipeline import FUNNEL, run
+
+    root = fresh_path(spark, "funnel")
+    for _ in range(2):
+        out = run(spark, FUNNEL, {"commits": commits(spark, d)}, root)
+    return out["one_file"].agg(F.count(F.lit(1)).alias("one_file"))

@@ -302,3 +302,15 @@ def test_slices_and_samples(spark):
     assert all(got[k] == min(k // 40, 1) for k in range(100))
     q = windows.quota_sample(df, F.col("k") < 10, 5, 20, ["k"], [F.md5(F.col("k").cast("string")), "k"])
     assert q.count() == 20 and q.where("k < 10").count() == 5
+
+
+def test_nested_metrics_of_nothing(spark):
+    df = spark.createDataFrame([(1, {"A": {"x": 1.0}, "N": {"x": 2.0}}), (2, {"A": {"x": 1.0}, "N": {}}), (3, {}), (4, None)], "k int, m map<string,map<string,double>>")
+    assert [r.k for r in df.where(perf.has_results(F.col("m"), ["A", "N"])).collect()] == [1]
+    assert [r.k for r in df.where(perf.no_results(F.col("m"))).collect()] == [3, 4]
+    assert perf.explode_results(df.where("k = 1"), ["k"], "m").count() == 2
+
+
+def test_inertia_by_hand(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [2.0, 0.0]), (2, [5.0, 5.0])], "c int, v array<double>")
+    assert {r.c: (r["size"], r.inertia) for r in clusters.inertia(df, "c", "v").collect()} == {1: (2, 2.0), 2: (1, 0.0)}
