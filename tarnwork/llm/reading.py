@@ -67,12 +67,12 @@ def lines_of(text: str) -> list[str]:
 
 
 def line_slots(line: str) -> list[int]:
-    """Buckets of the words and shapes of a line, and of neighbours among them."""
+    """Buckets of all words and shapes of a line, and of neighbours among them."""
     toks = []
     for t in _SHAPE.findall(line):
         c = t[0]
         toks.append("9" if c.isdigit() else t.lower() if c.isascii() else "~")
-    got = [zlib.crc32(t.encode()) for t in toks[:60]]
+    got = [zlib.crc32(t.encode()) for t in toks]
     both = [(a * 31 + b) & 0xFFFFFFFF for a, b in zip(got, got[1:])]
     return [h % LINE_BUCKETS for h in got + both]
 

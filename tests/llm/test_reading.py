@@ -96,3 +96,18 @@ def test_legal_notices_and_fences_do_not_count():
     notice = "Redistribution is permitted provided that this notice and the warranty disclaimer of the licensor accompany every derivative."
     assert r.is_legal(notice) and not r.is_legal("The notice on the door says when the shop is open and when it is not.")
     assert r.lines_of("# Title\n\n```\ncode here\n```\ntext") == ["text"]
+
+
+def test_a_line_is_judged_by_all_its_words():
+    """A long line that opens unlike it goes on: the part beyond its first tokens decides."""
+    rnd = random.Random(6)
+    docs = [(passage(k % 4 + 1, rnd), True) for k in range(80)] + [("\n".join(rnd.choice(CODE + LOG) for _ in range(20)), False) for _ in range(80)]
+    weights, rarity = r.fit_lines(docs), np.zeros(r.RARITY_BUCKETS)
+    rarity[0] = 9.0
+    code, prose = " ".join(CODE * 2), passage(3, random.Random(7))
+    late = code + " " + " ".join([prose] * 6)
+    early = " ".join([prose] * 1) + " " + " ".join(CODE * 12)
+    assert len(r._SHAPE.findall(code)) > 60 and len(r._SHAPE.findall(prose)) > 60
+    assert len(r.prose_of(late, weights, rarity)[0]) == 1
+    assert r.prose_of(early, weights, rarity)[0] == []
+    assert r.line_slots(late) != r.line_slots(late[: len(late) // 2])
