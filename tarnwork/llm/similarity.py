@@ -6,8 +6,9 @@ different descriptions of one record belong together. Positive mutual informatio
 Records are then grouped by their final description: cluster-feature trees per partition, merged in a tree of merges;
 Ward agglomeration of the leaf summaries; one pass that assigns every record to its nearest centroid.
 
-Bounds: vocabulary ``VOCABULARY`` terms (the most frequent), so matrices of its square at most; ``LEAVES`` leaf summaries,
-kept by coarser leaves, never by dropping records.
+Every term of at least ``MIN_COMMITS`` records counts, whatever the size of the table; of the matrix of terms only what is not
+zero is kept, and workers count it in strips of rows. Bound: ``LEAVES`` leaf summaries, kept by coarser leaves, never by
+dropping records.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tarnwork.staging import stage
 
-VOCABULARY = 3000
-MIN_COMMITS, MIN_SHARE = 5, 0.0005  # records that a term must occur in
+MIN_COMMITS = 5  # records that a term must occur in
+STRIP_CELLS = 16_000_000  # cells of the matrix of terms that a worker counts at a time
+HELD_TERMS = 10_000_000  # terms of records that a worker holds before it counts them
 DIMENSIONS = 96
 SPECIFIC = 0.5  # divergence of a term's company from everybody's, from which on it counts
 LEAF_RADIUS2 = 0.03
@@ -84,93 +86,129 @@ def vocabulary(described: DataFrame) -> list[str]:
                 seen = Counter()
         yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": "object", "n": "int64"})
 
-    n = described.count()
-    least = max(MIN_COMMITS if n >= 200 else 2, int(n * MIN_SHARE))
-    got = described.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r.term for r in got.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()]
+    got = described.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COMMITS)
+    return [r.term for r in got.orderBy(F.desc("n"), "term").collect()]
 
 
-def company(described: DataFrame, vocab: list[str]) -> np.ndarray:
+class Sparse:
+    """A symmetric matrix by its cells that are not zero, in order of rows."""
+
+    def __init__(self, size: int, row: np.ndarray, col: np.ndarray, value: np.ndarray):
+        self.size, self.row, self.col, self.value = size, row, col, value
+        self.first = np.searchsorted(row, np.arange(0, size + BLOCK, BLOCK))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __matmul__(self, q: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.size, q.shape[1]))
+        for b in range(0, self.size, BLOCK):  # a block of rows is filled in at a time
+            lo, hi = self.first[b // BLOCK], self.first[b // BLOCK + 1]
+            m = np.zeros((min(BLOCK, self.size - b), self.size))
+            m[self.row[lo:hi] - b, self.col[lo:hi]] = self.value[lo:hi]
+            out[b : b + BLOCK] = m @ q
+        return out
+
+    def sums(self) -> np.ndarray:
+        return np.bincount(self.row, self.value, self.size)
+
+
+def company(described: DataFrame, vocab: list[str]) -> Sparse:
     """How often two terms stand in different descriptions of one record: a matrix of len(vocab) squared, summed in two steps."""
     shared = described.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
     size = len(vocab)
+    strip = max(1, STRIP_CELLS // max(1, size) // BLOCK) * BLOCK
+
+    def pack(block: int, at: np.ndarray, n: np.ndarray) -> dict:
+        return {"block": block, "at": zlib.compress(at.astype("int64").tobytes(), 1), "n": zlib.compress(n.astype("float64").tobytes(), 1)}
+
+    def unpack(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(zlib.decompress(at), dtype="int64"), np.frombuffer(zlib.decompress(n), dtype="float64")
+
+    def blocks(held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> Iterator[pd.DataFrame]:
+        for lo in range(0, size, strip):
+            m = np.zeros((min(strip, size - lo), size), dtype="float32")
+            for at, n, sets in held:
+                a, b = np.searchsorted(at, (lo, lo + strip))
+                if a == b:
+                    continue
+                m[np.ix_(at[a:b] - lo, at)] += np.outer(n[a:b], n)
+                for s in sets:
+                    a, b = np.searchsorted(s, (lo, lo + strip))
+                    m[np.ix_(s[a:b] - lo, s)] -= 1
+            for b in range(0, len(m), BLOCK):
+                flat = m[b : b + BLOCK].ravel()
+                at = np.nonzero(flat)[0]
+                if len(at):
+                    yield pd.DataFrame([pack((lo + b) // BLOCK, at, flat[at])])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        m = np.zeros((size, size), dtype="float32")
-        any_row = False
+        held, terms_held = [], 0
         for pdf in batches:
             for texts in pdf.texts:
-                sets = [np.fromiter({i for t in terms(x) if (i := index.get(t)) is not None}, dtype="int64") for x in texts]
+                sets = [np.array(sorted({i for t in terms(x) if (i := index.get(t)) is not None}), dtype="int32") for x in texts]
                 sets = [s for s in sets if len(s)]
                 if len(sets) < 2:
                     continue
-                any_row = True
-                every = np.concatenate(sets)
-                at, n = np.unique(every, return_counts=True)
-                m[np.ix_(at, at)] += np.outer(n, n).astype("float32")
-                for s in sets:
-                    m[np.ix_(s, s)] -= 1
-        if any_row:
-            yield from _blocks(m)
-
-    def _blocks(m: np.ndarray) -> Iterator[pd.DataFrame]:
-        for b in range(0, size, BLOCK):
-            yield pd.DataFrame({"block": [b], "data": [zlib.compress(m[b : b + BLOCK].tobytes(), 1)]})
+                at, n = np.unique(np.concatenate(sets), return_counts=True)
+                held.append((at, n.astype("float32"), sets))
+                terms_held += 2 * len(at) + sum(map(len, sets))
+                if terms_held > HELD_TERMS:
+                    yield from blocks(held)
+                    held, terms_held = [], 0
+        if held:
+            yield from blocks(held)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for d in pdf["data"]:
-            one = np.frombuffer(zlib.decompress(d), dtype="float32")
-            total = one.copy() if total is None else total + one
-        return pd.DataFrame({"block": [pdf.block.iloc[0]], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    part = described.mapInPandas(count, "block int, data binary").withColumn("salt", F.spark_partition_id() % 16)
-    once = part.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(pdf), "block int, data binary")
-    rows = once.groupBy("block").applyInPandas(add, "block int, data binary").collect()
-    out = np.zeros((size, size), dtype="float32")
-    for r in rows:
-        flat = np.frombuffer(zlib.decompress(r["data"]), dtype="float32")
-        out[r.block : r.block + BLOCK] = flat.reshape(-1, size)
-    return out
-
-
-def leading(m: np.ndarray, d: int, more: int = 24, steps: int = 14) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(BLOCK * size)
+        for x, y in zip(pdf["at"], pdf["n"]):
+            at, n = unpack(x, y)
+            total[at] += n
+        at = np.nonzero(total)[0]
+        return pd.DataFrame([pack(int(pdf.block.iloc[0]), at, total[at])])
+
+    kind = "block int, at binary, n binary"
+    part = described.mapInPandas(count, kind).withColumn("salt", F.spark_partition_id() % 16)
+    once = part.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(pdf), kind)
+    got = [(r.block, *unpack(r["at"], r["n"])) for r in sorted(once.groupBy("block").applyInPandas(add, kind).collect(), key=lambda r: r.block)]
+    if not got:
+        return Sparse(size, np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0))
+    row = np.concatenate([(b * BLOCK + at // size).astype("int32") for b, at, _ in got])
+    return Sparse(size, row, np.concatenate([(at % size).astype("int32") for _, at, _ in got]), np.concatenate([n for _, _, n in got]))
+
+
+def leading(m: np.ndarray | Sparse, d: int, more: int = 24, steps: int = 14) -> tuple[np.ndarray, np.ndarray]:
     """The d largest eigenvalues of a symmetric matrix and their vectors, by subspace iteration from a fixed start."""
     if len(m) <= 2 * (d + more):
-        values, vectors = np.linalg.eigh(m)
+        values, vectors = np.linalg.eigh(m @ np.eye(len(m)))
         return values[-d:], vectors[:, -d:]
     q = np.linalg.qr(np.random.default_rng(3).standard_normal((len(m), d + more)))[0]
     for _ in range(steps):
         q = np.linalg.qr(m @ q)[0]
-    values, small = np.linalg.eigh(q.T @ m @ q)
+    values, small = np.linalg.eigh(q.T @ (m @ q))
     return values[-d:], q @ small[:, -d:]
 
 
-def space_of(vocab: list[str], c: np.ndarray) -> Space:
+def space_of(vocab: list[str], c: Sparse | None) -> Space:
     if not vocab:
         return Space({}, np.zeros((0, 1)), np.zeros(0))
-    own = np.diagonal(c).copy()
-    rows = c.sum(axis=1) - own
+    full = c.sums()
+    other = c.row != c.col
+    row, col, n = c.row[other], c.col[other], c.value[other]
+    rows = np.bincount(row, n, len(vocab))
     overall = rows / max(rows.sum(), 1.0)
-    kl = np.zeros(len(vocab))
-    for lo in range(0, len(vocab), BLOCK):  # by blocks of rows: the matrix is there once
-        p = c[lo : lo + BLOCK].astype("float64")
-        p[np.arange(len(p)), np.arange(lo, lo + len(p))] = 0
-        p /= np.maximum(rows[lo : lo + BLOCK], 1)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            kl[lo : lo + BLOCK] = np.where(p > 0, p * np.log(p / np.maximum(overall, 1e-12)[None, :]), 0).sum(axis=1)
+    p = n / np.maximum(rows, 1)[row]
+    kl = np.bincount(row, p * np.log(p / np.maximum(overall, 1e-12)[col]), len(vocab))
     weight = np.clip(kl - SPECIFIC, 0, 1.5)
     keep = np.nonzero(weight > 0)[0]
     if not len(keep):
         return Space({}, np.zeros((0, 1)), np.zeros(0))
-    full = c.sum(axis=1, dtype="float64")
-    pmi = c[np.ix_(keep, keep)].astype("float64")
-    pmi *= max(full.sum(), 1.0)
-    pmi /= np.maximum(full[keep], 1e-9)[:, None]
-    pmi /= np.maximum(full[keep], 1e-9)[None, :]
-    np.log(np.maximum(pmi, 1.0, out=pmi), out=pmi)
-    values, vectors = leading(pmi, min(DIMENSIONS, len(keep)))
+    place = np.full(len(vocab), -1, dtype="int32")
+    place[keep] = np.arange(len(keep))
+    pmi = np.log(np.maximum(c.value * max(full.sum(), 1.0) / np.maximum(full, 1e-9)[c.row] / np.maximum(full, 1e-9)[c.col], 1.0))
+    both = (pmi > 0) & (place[c.row] >= 0) & (place[c.col] >= 0)
+    values, vectors = leading(Sparse(len(keep), place[c.row[both]], place[c.col[both]], pmi[both]), min(DIMENSIONS, len(keep)))
     e = vectors * np.sqrt(np.maximum(values, 0))
     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
     return Space({vocab[i]: k for k, i in enumerate(keep)}, (e * weight[keep][:, None]).astype("float32"), weight[keep])
@@ -352,7 +390,7 @@ def assign(records: DataFrame, described: DataFrame) -> DataFrame:
     once = stage(records.where("record_id IS NOT NULL").groupBy("record_id").agg(F.max("text").alias("text")), "texts")
     several = stage(described.where("record_id IS NOT NULL AND size(texts) > 0").groupBy("record_id").agg(F.max("texts").alias("texts")).select("texts"), "descriptions")
     vocab = vocabulary(several)
-    space = space_of(vocab, company(several, vocab)) if vocab else space_of([], np.zeros((0, 0)))
+    space = space_of(vocab, company(several, vocab)) if vocab else space_of([], None)
     given = spark.sparkContext.broadcast(space)
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,3 +87,30 @@ def test_leading_eigenvectors():
     values, vectors = s.leading(m, 10)
     assert np.allclose(sorted(values), sorted(np.linalg.eigvalsh(m)[-10:]), atol=1e-6)
     assert np.allclose(m @ vectors, vectors * values, atol=1e-4)
+
+
+def test_no_term_is_dropped_for_its_rank_or_the_size_of_the_table(spark):
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(3400)]
+    texts = [[" ".join(words[k : k + 20])] * 2 for k in range(0, 3400, 20)]
+    few = spark.createDataFrame([(x,) for x in texts * 5], "texts array<string>")
+    assert set(words) <= set(s.vocabulary(few))
+    assert set(s.vocabulary(spark.createDataFrame([(x,) for x in texts[:2] * 5 + [["only here"]] * 20_000], "texts array<string>"))) >= set(words[:40])
+    assert s.vocabulary(spark.createDataFrame([(x,) for x in texts[:2] * 4], "texts array<string>")) == []
+
+
+def test_company_in_strips_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(s, "STRIP_CELLS", 1)
+    monkeypatch.setattr(s, "HELD_TERMS", 1000)
+    r = random.Random(4)
+    vocab = ["".join(chr(97 + k // 26**j % 26) for j in range(2)) for k in range(330)]
+    rows = [[" ".join(r.sample(vocab, 6)) for _ in range(r.randrange(1, 4))] for _ in range(200)]
+    want = np.zeros((330, 330))
+    for texts in rows:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if a != b:
+                    for x in texts[a].split():
+                        for y in texts[b].split():
+                            want[vocab.index(x), vocab.index(y)] += 1
+    c = s.company(spark.createDataFrame([(x,) for x in rows], "texts array<string>"), vocab)
+    assert np.array_equal(c @ np.eye(330), want)
