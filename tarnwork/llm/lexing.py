@@ -85,40 +85,111 @@ _IF, _ELIF, _ELSE, _ENDIF = "\x11", "\x12", "\x13", "\x14"
 _CONDITIONS = {"if": _IF, "ifdef": _IF, "ifndef": _IF, "elif": _ELIF, "elifdef": _ELIF, "elifndef": _ELIF, "else": _ELSE, "endif": _ENDIF}
 
 
-def variants(codes: str) -> list[str]:
-    """Code strings with conditional compilation resolved, each branch being taken in at least one; X if unbalanced."""
-    if not re.search("[\x11-\x14]", codes):
+#: Up to so many conditions, all ways they may go are taken; beyond, every two of them in all ways, with all others off and on.
+ALL_WAYS = 8
+_DEFINED = re.compile(r"\bdefined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
+_LOGIC = re.compile(r"\w+|&&|\|\||[!()]|\s+")
+_PYTHON = {"&&": " and ", "||": " or ", "!": " not "}
+
+
+def _condition(word: str, text: str, atoms: dict[str, int]):
+    """What a directive demands: code over ``a``, whether each atom holds, and the atoms it names. A part that is no logic of names is an atom as a whole."""
+    text = re.sub(r"/\*.*?\*/|//[^\n]*|\\\r?\n", " ", text, flags=re.S).strip()
+    if word.endswith("def"):
+        text = ("!" if word.endswith("ndef") else "") + text
+    text = _DEFINED.sub(lambda m: m.group(1) or m.group(2), text)
+    got = _LOGIC.findall(text)
+    if "".join(got) == text:
+        names = [t for t in got if t[0].isalnum() or t[0] == "_"]
+        new = {n: len(atoms) + k for k, n in enumerate(dict.fromkeys(n for n in names if n not in atoms))}
+        try:
+            code = compile("(" + "".join(_PYTHON.get(t, f" a[{atoms.get(t, new.get(t))}] " if t in names else t) for t in got).strip() + ")", "", "eval")
+            atoms.update(new)
+            return code, sorted({atoms[n] for n in names})
+        except (SyntaxError, MemoryError, RecursionError):
+            pass
+    k = atoms.setdefault(" ".join(text.split()), len(atoms))
+    return compile(f"a[{k}]", "", "eval"), [k]
+
+
+def variants(codes: str, conditions: list[tuple[str, str]] | None = None) -> list[str]:
+    """Code strings with conditional compilation resolved, each branch being taken in at least one; X if unbalanced.
+
+    ``conditions`` has the word and the text of each directive in order; without them every branch has a condition of its own.
+    Branches of one condition go together, different conditions each way (see ``ALL_WAYS``).
+    """
+    marks = re.findall("[\x11-\x14]", codes)
+    if not marks:
         return [codes]
+    if conditions is None or len(conditions) != len(marks):
+        conditions = [("if", f"c{k}") for k in range(len(marks))]
+    atoms: dict[str, int] = {}
+    given = iter(conditions)
     root: list = []
-    body, most, stack = root, 2, []
+    body, stack = root, []
     for part in re.split("([\x11-\x14])", codes):
+        if part and part in "\x11\x12\x13\x14":
+            word, text = next(given)
         if part == _IF:
-            branches: list = [[]]
+            branches: list = [(_condition(word, text, atoms), [])]
             body.append(branches)
             stack.append([body, branches, False])
-            body = branches[0]
+            body = branches[0][1]
         elif part in (_ELIF, _ELSE):
             if not stack or stack[-1][2]:
                 return ["X"]
             stack[-1][2] = part == _ELSE
-            stack[-1][1].append([])
-            body = stack[-1][1][-1]
+            stack[-1][1].append((None if part == _ELSE else _condition(word, text, atoms), []))
+            body = stack[-1][1][-1][1]
         elif part == _ENDIF:
             if not stack:
                 return ["X"]
-            outer, branches, closed = stack.pop()
-            if not closed:
-                branches.append([])
-            most, body = max(most, len(branches)), outer
+            body = stack.pop()[0]
         elif part:
             body.append(part)
     if stack:
         return ["X"]
 
-    def take(part: list, k: int) -> str:
-        return "".join([take(x[min(k, len(x) - 1)], k) if isinstance(x, list) else x for x in part])
-
-    return list(dict.fromkeys(take(root, k) for k in range(most)))
+    def take(part: list, a: list[bool]) -> str:
+        return "".join([x if isinstance(x, str) else take(next((b for c, b in x if c is None or eval(c[0], {"a": a})), []), a) for x in part])
+
+    def branches_of(part: list, above: list) -> list[list]:
+        """The conditions on the way to each branch: (code, whether it holds)."""
+        out = []
+        for x in part:
+            if not isinstance(x, str):
+                no: list = []
+                for c, b in x:
+                    way = above + no + ([] if c is None else [(c, True)])
+                    out += [way, *branches_of(b, way)]
+                    no = no + ([] if c is None else [(c, False)])
+                out.append(above + no)
+        return out
+
+    n = len(atoms)
+    if n <= ALL_WAYS:
+        ways = [[bool(w >> k & 1) for k in range(n)] for w in range(1 << n)]
+    else:
+        ways = []
+        for others in (False, True):
+            ways.append([others] * n)
+            for i in range(n):
+                for j in range(i, n):
+                    for p, q in ((True, True), (True, False), (False, True), (False, False)):
+                        way = [others] * n
+                        way[i], way[j] = p, q
+                        ways.append(way)
+        for path in branches_of(root, []):  # a branch below many conditions: those on its way as it needs them
+            for others in (False, True):
+                way = [others] * n
+                for _ in range(n):
+                    off = next(((c, v) for c, v in path if bool(eval(c[0], {"a": way})) != v), None)
+                    if off is None:
+                        break
+                    for k in off[0][1]:
+                        way[k] = off[1]
+                ways.append(way)
+    return list(dict.fromkeys(take(root, w) for w in ways))
 
 
 class _Codes(dict):
@@ -143,6 +214,7 @@ _BLOCK_TYPE = re.compile(r"[Kw][^;()={}k]*\{|\)q*\.[itV*&<>]+\{")
 
 def lex_c(text: str, cpp: bool) -> list[str]:
     """The code strings of the variants of a C or C++ text."""
+    conditions: list[tuple[str, str]] = []
 
     def put(m: re.Match) -> str:
         kind = m.lastgroup
@@ -158,8 +230,11 @@ def lex_c(text: str, cpp: bool) -> list[str]:
                 return " ` " if not before and m.string[m.end() : m.end() + 1] in ("", " ", "\r", "\n") else m.group()
             if before.strip() and not re.fullmatch(r"\s*/\*.*\*/\s*", before, re.S):
                 return " ` "
-            word = re.match(r"#\s*(\w*)", m.group()).group(1)
-            return f" {_CONDITIONS[word]} " if word in _CONDITIONS else " "
+            word, rest = re.match(r"#\s*(\w*)(.*)", m.group(), re.S).groups()
+            if word not in _CONDITIONS:
+                return " "
+            conditions.append((word, rest))
+            return f" {_CONDITIONS[word]} "
         return " ` "
 
     if 'R"' in text and cpp:
@@ -171,7 +246,7 @@ def lex_c(text: str, cpp: bool) -> list[str]:
     plain = (_C_MARKER if any(k in text for k in _MARKS) else _C_OPAQUE).sub(put, text)
     # the end of a line is no token of C; marks of an unfinished merge are caught as such
     codes = "".join(map(_C_CODES[cpp].__getitem__, _C_TOKENS.findall(plain)))
-    return [_braces_c(v) for v in variants(codes)]
+    return [_braces_c(v) for v in variants(codes, conditions)]
 
 
 def _braces_c(s: str) -> str:

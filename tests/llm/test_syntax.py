@@ -111,3 +111,22 @@ def test_table(spark):
 def test_unbalanced_conditionals():
     assert lexing.lex("#if A\nint a;\n", "C") == ["X"] and lexing.lex("int a;\n#endif\n", "C") == ["X"]
     assert len(lexing.lex("#if A\nint a;\n#elif B\nint *a;\n#else\nint a();\n#endif", "C")) == 3
+
+
+@pytest.mark.parametrize("language", ["C", "C++"])
+def test_every_branch_and_mix_of_conditions_is_checked(language):
+    bad = [
+        "int f(int a) {\n#if A\n  b();\n#else\n#if B\n  if (a {\n#endif\n#endif\n  return 1;\n}",  # inside the outer else
+        "int f(int a) {\n#ifdef A\n#ifdef B\n  b();\n#else\n  if (a) {\n#endif\n#endif\n  return 1;\n}",  # an else inside the first branch
+        "int f(int a) {\n#ifdef HAVE_QUEUE\n  if (a) {\n#endif\n  b();\n#ifdef HAVE_PACKET\n  }\n#endif\n  return 1;\n}",  # one on, one off
+        "int f(int a) {\n" + "".join(f"#ifdef C{k}\n  b({k});\n#endif\n" for k in range(12)) + "#ifdef X\n  if (a) {\n#endif\n  b();\n#ifdef Y\n  }\n#endif\n  return 1;\n}",
+    ]
+    good = [
+        "int f(int a) {\n#ifdef A\n  if (a) {\n#endif\n  b();\n#if defined(A)\n  }\n#endif\n  return 1;\n}",
+        "int f(int a) {\n#ifdef A\n  if (a) {\n#endif\n  b();\n#ifndef A\n  c();\n#else\n  }\n#endif\n  return 1;\n}",
+        "int f(int a) {\n#if V > 2\n  if (a > 2) {\n#elif V > 1 /* x */\n  if (a > 1) {\n#else\n  {\n#endif\n  b();\n  }\n  return 1;\n}",
+        "int f(int a) {\n" + "".join(f"#if defined(C{k}) && !C{k + 1}\n  b({k});\n#else\n  c();\n#endif\n" for k in range(14)) + "  return 1;\n}",
+    ]
+    assert all(any(faults(t, language)) for t in bad)
+    assert not any(any(faults(t, language)) for t in good)
+    assert lexing.lex("int a;\n#else\nint b;\n#endif", language) == ["X"]
