@@ -184,8 +184,6 @@ def _given(question: str) -> tuple:
 
 @lru_cache(1 << 16)
 def code_features(question: str, answer: str) -> tuple[float, ...]:
-    if len(answer) > 5000:  # the beginning and end tell
-        answer = answer[:2500] + answer[-2500:] if bare(answer) != bare(question) else question
     a = answer.strip()
     body = _COMMENTS.sub(" ", a).strip()
     q_flat, theirs, q_words = _given(question)

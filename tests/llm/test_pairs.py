@@ -70,3 +70,14 @@ def test_table(spark, monkeypatch):
     got = {(r.origin, r.record_id, r.item): r.defect for r in p.find_defects(df, ("explanation",)).collect()}
     assert got[("answer", 9000, 0)] == "empty" and len(got) < 20
     assert p.find_defects(df.limit(0), ("explanation",)).count() == 0
+
+
+def test_long_code_is_counted_whole():
+    """Signs of another language in the middle count, and a sound long function keeps its balance."""
+    part = "if (p->flag && check(p)) {\n  total = total + step(p, (1 + 2));\n}\n"
+    sound = part * 150
+    assert len(sound) > 5000
+    short = p.code_features("x = 1;", part)
+    assert p.code_features("x = 1;", sound)[7:12] == short[7:12] == (0.0,) * 5
+    middle = sound + "for k in range(len(xs)):\n    val = None\n" * 20 + sound
+    assert p.code_features("x = 1;", middle)[24] > p.code_features("x = 1;", sound + sound)[24]
