@@ -24,7 +24,8 @@ DEFECTS = ["empty", "truncated", "refusal", "copied", "other_language"]
 SAMPLE = 6000  # pairs of each kind for the classifier
 BROKEN = 1500  # of them to break
 BUCKETS = 1 << 16
-CHUNK = 500
+CHUNK, CHUNK_CHARS = 500, 2_000_000  # answers, and their length, that are scored at a time
+LONG, PIECE = 4000, 1 << 20  # bytes from which on n-grams of a text are counted by bucket, so many bytes at a time
 EPOCHS, BATCH, RATE, DECAY = 12, 512, 0.15, 1e-6
 
 #: Share of pairs assumed to have a given defect, for the thresholds.
@@ -216,27 +217,42 @@ def code_features(question: str, answer: str) -> tuple[float, ...]:
 # ---- hashed n-grams of bytes, over a whole batch at once
 
 
+def gram_buckets(flat: np.ndarray, k: int) -> np.ndarray:
+    m = len(flat) - k + 1
+    h = np.full(m, 2166136261 + k, dtype="uint32")
+    for j in range(k):
+        h = (h ^ flat[j : j + m]) * np.uint32(16777619)
+    h ^= h >> np.uint32(15)
+    return (h & np.uint32(BUCKETS - 1)).astype("int64")
+
+
 def gram_rows(texts: list[str], ends: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, weight) of the n-grams of 5 bytes of each text, and of its last bytes."""
-    data = [t.lower().encode("utf-8", "replace")[:4000] if len(t) <= 4000 else (t[:2000] + t[-2000:]).lower().encode("utf-8", "replace") for t in texts]
-    size = np.fromiter(map(len, data), dtype="int64", count=len(data))
-    flat = np.frombuffer(b"".join(data), dtype="uint8").astype("uint32")
+    data = [t.lower().encode("utf-8", "replace") for t in texts]
+    short = [d if len(d) <= LONG else b"" for d in data]
+    size = np.fromiter(map(len, short), dtype="int64", count=len(data))
+    flat = np.frombuffer(b"".join(short), dtype="uint8").astype("uint32")
     owner = np.repeat(np.arange(len(data)), size)
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
     at = np.arange(len(flat)) - start[owner] if len(flat) else np.zeros(0, dtype="int64")
     rows, buckets, weights = [], [], []
     for k in (5,):
         m = len(flat) - k + 1
-        if m <= 0:
-            continue
-        h = np.full(m, 2166136261 + k, dtype="uint32")
-        for j in range(k):
-            h = (h ^ flat[j : j + m]) * np.uint32(16777619)
-        h ^= h >> np.uint32(15)
-        ok = at[:m] + k <= size[owner[:m]]
-        rows.append(owner[:m][ok])
-        buckets.append((h[ok] & np.uint32(BUCKETS - 1)).astype("int64"))
-        weights.append(1.0 / np.sqrt(np.maximum(size[owner[:m][ok]] - k + 1, 1)))
+        if m > 0:
+            ok = at[:m] + k <= size[owner[:m]]
+            rows.append(owner[:m][ok])
+            buckets.append(gram_buckets(flat, k)[ok])
+            weights.append(1.0 / np.sqrt(np.maximum(size[owner[:m][ok]] - k + 1, 1)))
+        for i, d in enumerate(data):
+            if len(d) <= LONG:
+                continue
+            n = np.zeros(BUCKETS)
+            for lo in range(0, len(d) - k + 1, PIECE):
+                n += np.bincount(gram_buckets(np.frombuffer(d[lo : lo + PIECE + k - 1], dtype="uint8").astype("uint32"), k), minlength=BUCKETS)
+            used = np.nonzero(n)[0]
+            rows.append(np.full(len(used), i))
+            buckets.append(used)
+            weights.append(n[used] / np.sqrt(len(d) - k + 1))
     if ends:
         tails = [d.rstrip() for d in data]
         for k in (3, 5, 8, 12, 18):
@@ -464,9 +480,16 @@ def defects_of(kind: str, model: Model, questions: list[str], answers: list[str
     """The defect of each answer or None, and by how much its score passes the threshold."""
     defects: list[str | None] = []
     tops = []
-    for lo in range(0, len(answers), CHUNK):  # what a chunk needs stays in the processor's cache
-        known = ["" if a is None else a for a in answers[lo : lo + CHUNK]]
-        z = model.scores(*features(kind, questions[lo : lo + CHUNK], known, model.vocabulary)) - model.cut
+    every = ["" if a is None else a for a in answers]
+    lo = 0
+    while lo < len(every):  # what a chunk needs stays in the processor's cache
+        hi, chars = lo + 1, len(every[lo])
+        while hi < min(len(every), lo + CHUNK) and chars + len(every[hi]) <= CHUNK_CHARS:
+            chars += len(every[hi])
+            hi += 1
+        known, asked = every[lo:hi], questions[lo:hi]
+        lo = hi
+        z = model.scores(*features(kind, asked, known, model.vocabulary)) - model.cut
         best = z.argmax(axis=1)
         top = z[np.arange(len(known)), best]
         defects += [DEFECTS[b] if t > 0 else None for b, t in zip(best, top)]
@@ -480,7 +503,7 @@ def find_defects(units: DataFrame, kinds: tuple[str, ...] = ("explanation", "cod
     ``units``: origin, record_id, item, kind ('explanation', 'code' or 'summary'), question, answer. An answer may have several
     units (fields); it is defective if one is, with the defect whose score passes its threshold by most. A null
     answer is empty; what is rightly null must not be given. Repeated rows give one; a null question counts as an
-    empty one; very long texts are scored by their beginning and end; an empty table gives an empty result.
+    empty one; texts are scored whole, however long; an empty table gives an empty result.
     """
     spark = units.sparkSession
     models = {}

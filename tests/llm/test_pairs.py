@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tarnwork.llm import pairs as p
@@ -81,3 +82,31 @@ def test_long_code_is_counted_whole():
     assert p.code_features("x = 1;", sound)[7:12] == short[7:12] == (0.0,) * 5
     middle = sound + "for k in range(len(xs)):\n    val = None\n" * 20 + sound
     assert p.code_features("x = 1;", middle)[24] > p.code_features("x = 1;", sound + sound)[24]
+
+
+def test_ngrams_of_long_texts():
+    """All bytes are hashed, in pieces as in one, and the last n-grams are those of the end."""
+    def buckets(t, ends=False):
+        row, b, w = p.gram_rows([t], ends)
+        return np.bincount(b, w, p.BUCKETS)
+
+    def plain(t):
+        d = np.frombuffer(t.lower().encode(), dtype="uint8").astype("uint32")
+        return np.bincount(p.gram_buckets(d, 5), minlength=p.BUCKETS) / np.sqrt(len(d) - 4)
+
+    rnd = random.Random(3)
+    for n in (300, 900, 30_000):
+        t = " ".join(rnd.choice(NAMES) + str(rnd.randrange(999)) for _ in range(n))
+        assert np.allclose(buckets(t), plain(t))
+        chinese = "因为循环内的值不变所以" * (n // 3) + "适用。"
+        assert np.allclose(buckets(chinese), plain(chinese))
+        ends = buckets(chinese, True) - buckets(chinese)
+        for k in (3, 5, 8, 12, 18):
+            assert ends[p.hash_bytes(chinese.encode()[-k:], 977 + k) & p.BUCKETS - 1] > 0.5
+
+
+def test_pieces_of_ngrams_join(monkeypatch):
+    t = "".join(random.Random(8).choice("abcdefgh ") for _ in range(9001))
+    whole = p.gram_rows([t, "short text"], True)
+    monkeypatch.setattr(p, "PIECE", 700)
+    assert all(np.allclose(a, b) for a, b in zip(whole, p.gram_rows([t, "short text"], True)))
