@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -182,13 +185,34 @@ def ascii_tokens(c: Column, shortest: int = 2, longest: int = 15) -> Column:
     return F.filter(got, lambda t: F.length(t).between(shortest, longest))
 
 
+@lru_cache(1)
+def _accents() -> tuple[str, str]:
+    """Characters of the basic plane that carry a mark, and what they are without it."""
+    plain = {}
+    for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0xFFFE)]):
+        parts = unicodedata.normalize("NFD", c)
+        bare = unicodedata.normalize("NFC", "".join(x for x in parts if unicodedata.category(x) != "Mn"))
+        if len(parts) > 1 and len(bare) == 1 and bare != c:
+            plain[c] = bare
+    return "".join(plain), "".join(plain.values())
+
+
+def without_accents(c: Column) -> Column:
+    """Letters without their marks, in any script."""
+    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}+", "")
+
+
 def word_tokens(c: Column, shortest: int = 2, longest: int = 15) -> Column:
-    """Runs of letters of any script and underscores, without accents on Latin letters, not starting with _; null: none."""
-    plain = F.regexp_replace(F.normalize(F.lower(F.coalesce(c, F.lit(""))), F.lit("NFD")) if hasattr(F, "normalize") else F.lower(F.coalesce(c, F.lit(""))), r"\p{M}+", "")
-    got = F.regexp_extract_all(plain, F.lit(r"((?:[\p{L}_])+)"), F.lit(1))
+    """Runs of letters of any script and underscores, without accents, lower-cased, not starting with _; null: none."""
+    got = F.regexp_extract_all(without_accents(F.lower(F.coalesce(c, F.lit("")))), F.lit(r"([\p{L}\p{Nl}\p{No}_]+)"), F.lit(1))
     return F.filter(got, lambda t: F.length(t).between(shortest, longest) & ~t.startswith("_"))
 
 
+def blank_tokens(c: Column) -> Column:
+    """What stands between white space; null and blank texts: none."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+
+
 def word_count(c: Column) -> Column:
     """Tokens by white space and punctuation, the offline stand-in for a model's tokenizer."""
     return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\w+|[^\w\s])"), F.lit(1)))

@@ -55,3 +55,8 @@ def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, encoder: Callab
     missing = keyed.select("key", text).dropDuplicates(["key"]).join(cache, "key", "left_anti")
     fresh = embed(missing, text, "embedding", encoder).select("key", "embedding")
     return keyed.join(cache.unionByName(fresh), "key", "left").drop("key"), fresh
+
+
+def fuse(*vectors: Column) -> Column:
+    """Vectors end to end; null if one of them is."""
+    return F.concat(*vectors)

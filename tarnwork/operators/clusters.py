@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.config import DEFAULTS
+
 #: Rows that the quadratic methods (Ward, density) take; more are refused, not sampled.
 QUADRATIC_ROWS = 5_000
 
@@ -18,10 +20,58 @@ def _with_vector(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, output: str = "cluster") -> DataFrame:
-    """Adds the cluster of each row; deterministic for a fixed order of input partitions."""
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=output).fit(_with_vector(df, vector))
-    return model.transform(_with_vector(df, vector)).drop("_v")
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, output: str = "cluster", starts: int = 1) -> DataFrame:
+    """Adds the cluster of each row, of the best of ``starts`` runs by cost; deterministic for a fixed order of input partitions."""
+    v = _with_vector(df, vector)
+    models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol=output).fit(v) for i in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(v).drop("_v")
+
+
+def minibatch_kmeans(df: DataFrame, key: str, vector: str, k: int, batches: int = 20, passes: int = 3, seed: int = 42, output: str = "cluster") -> DataFrame:
+    """Adds the cluster of each row by centres that move with one batch of rows after the other.
+
+    A batch is the rows whose hash of ``key`` falls into its share, so that a pass takes every row once; a batch's sums are reduced per
+    partition before k rows reach the driver. A centre moves by its batch mean, weighted by the rows it has met.
+    """
+    once = df.select(F.col(vector).alias("_x"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(batches)).alias("_b"))
+    first = once.orderBy(F.xxhash64("_x", F.lit(seed)), "_x").limit(k).collect()
+    centres = np.array([r["_x"] for r in first], dtype="float64")
+    met = np.zeros(len(centres))
+    spark = df.sparkSession
+
+    def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)
+
+    for step in range(passes * batches if len(centres) else 0):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def sums(parts, shared=shared):
+            c = shared.value
+            total, n = np.zeros_like(c), np.zeros(len(c))
+            for pdf in parts:
+                if len(pdf):
+                    x = np.stack([np.asarray(v, dtype="float64") for v in pdf["_x"]])
+                    at = nearest(x, c)
+                    np.add.at(total, at, x)
+                    n += np.bincount(at, minlength=len(c))
+            yield pd.DataFrame({"c": np.arange(len(c)), "n": n, "s": list(total)})
+
+        got = once.where(F.col("_b") == step % batches).select("_x").mapInPandas(sums, "c int, n double, s array<double>").collect()
+        n, total = np.zeros(len(centres)), np.zeros_like(centres)
+        for r in got:
+            n[r.c] += r.n
+            total[r.c] += np.array(r.s)
+        met += n
+        moved = n > 0
+        rate = n[moved] / met[moved]
+        centres[moved] += rate[:, None] * (total[moved] / n[moved][:, None] - centres[moved])
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def cluster(v: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.stack([np.asarray(x, dtype="float64") for x in v]), shared.value).astype("int32"))
+
+    return df.withColumn(output, cluster(F.col(vector)))
 
 
 def pca(df: DataFrame, vector: str, dims: int, output: str = "reduced") -> DataFrame:
@@ -47,27 +97,51 @@ def squared_distances(x: np.ndarray) -> np.ndarray:
     return np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0)
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration to k clusters; labels by first member."""
+def ward_merges(x: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (kept, joined) of Ward agglomeration down to one cluster, in order."""
     n = len(x)
     c, size, alive = x.copy(), np.ones(n), np.ones(n, dtype=bool)
-    member = np.arange(n)
     cost = squared_distances(c) / 2
     np.fill_diagonal(cost, np.inf)
-    for _ in range(max(0, n - k)):
-        i, j = sorted(divmod(int(cost.argmin()), n))
+    # the cheapest partner of each cluster is kept, so that a merge costs a row and not the whole matrix
+    partner = cost.argmin(axis=1) if n else np.zeros(0, dtype=int)
+    best = cost[np.arange(n), partner]
+    merges = []
+    for _ in range(max(0, n - 1)):
+        i = int(best.argmin())
+        i, j = sorted((i, int(partner[i])))
+        merges.append((i, j))
         c[i] = (c[i] * size[i] + c[j] * size[j]) / (size[i] + size[j])
         size[i] += size[j]
         alive[j] = False
-        member[member == j] = i
         cost[j] = cost[:, j] = np.inf
+        best[j] = np.inf
         d = ((c - c[i]) ** 2).sum(axis=1) * size * size[i] / (size + size[i])
         d[~alive] = np.inf
         d[i] = np.inf
         cost[i] = cost[:, i] = d
+        stale = alive & ((partner == i) | (partner == j))
+        stale[i] = True
+        partner[stale] = cost[stale].argmin(axis=1)
+        best[stale] = cost[stale, partner[stale]]
+        nearer = alive & ((d < best) | ((d == best) & (i < partner)))
+        partner[nearer], best[nearer] = i, d[nearer]
+    return merges
+
+
+def cut_merges(merges: list[tuple[int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of k clusters, by first member."""
+    member = np.arange(n)
+    for i, j in merges[: max(0, n - k)]:
+        member[member == j] = i
     return np.unique(member, return_inverse=True)[1] if n else member
 
 
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Ward agglomeration to k clusters; labels by first member."""
+    return cut_merges(ward_merges(x), len(x), k)
+
+
 def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 5) -> np.ndarray:
     """Clusters of a mutual-reachability tree chosen by excess of mass; -1 is noise."""
     n = len(x)
@@ -178,27 +252,29 @@ def density(df: DataFrame, key: str, vector: str, min_cluster_size: int = 5, min
     return _labelled(df, key, keys, density_labels(x, min_cluster_size, min_samples), output)
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+def silhouette(x: np.ndarray, labels: np.ndarray, distances: np.ndarray | None = None) -> float:
     """Mean Euclidean silhouette; -1 where it is not defined."""
     if not 2 <= len(set(labels)) < len(x):
         return -1.0
-    d = np.sqrt(squared_distances(x))
-    s = np.zeros(len(x))
-    groups = {c: np.nonzero(labels == c)[0] for c in set(labels)}
-    for i in range(len(x)):
-        own = groups[labels[i]]
-        if len(own) == 1:
-            continue
-        a = d[i, own].sum() / (len(own) - 1)
-        b = min(d[i, g].mean() for c, g in groups.items() if c != labels[i])
-        s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0
+    d = np.sqrt(squared_distances(x)) if distances is None else distances
+    names, at = np.unique(labels, return_inverse=True)
+    member = np.eye(len(names))[at]
+    size = member.sum(axis=0)
+    sums = d @ member
+    own = sums[np.arange(len(x)), at] / np.maximum(size[at] - 1, 1)
+    other = sums / size
+    other[np.arange(len(x)), at] = np.inf
+    other = other.min(axis=1)
+    top = np.maximum(own, other)
+    s = np.where((size[at] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0.0)
     return float(s.mean())
 
 
-def choose_k(df: DataFrame, key: str, vector: str, ks: range = range(2, 16)) -> DataFrame:
+def choose_k(df: DataFrame, key: str, vector: str, ks: range = range(DEFAULTS.ward_k[0], DEFAULTS.ward_k[1] + 1)) -> DataFrame:
     """(k, silhouette) of Ward cuts; the first largest is the choice."""
     _, x = _bounded(df, key, vector)
-    rows = [(k, silhouette(x, ward_labels(x, k)) if k < len(x) else -1.0) for k in ks]
+    merges, distances = ward_merges(x), np.sqrt(squared_distances(x))
+    rows = [(k, silhouette(x, cut_merges(merges, len(x), k), distances) if k < len(x) else -1.0) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 

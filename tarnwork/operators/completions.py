@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
@@ -24,6 +25,8 @@ class Task:
     parse: Callable[[Column], dict[str, Column]]
     attempts: int = 1
     retries: int = 3
+    #: What is wrong with an answer, told to the model in the next try (None: nothing). It sees its prompt and its answer before.
+    correct: Callable[[str], str | None] | None = None
 
 
 def stub_provider(prompts: list[str]) -> list[str | None]:
@@ -70,18 +73,22 @@ def run(df: DataFrame, keys: list[str], task: Task, provider: Provider = stub_pr
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got: list[str | None] = [None] * len(pdf)
-            tries = [0] * len(pdf)
+            tries, asks = [0] * len(pdf), pdf.prompt.tolist()
             for _ in range(max(1, retries)):
                 open_ = [i for i, g in enumerate(got) if g is None]
                 if not open_:
                     break
                 try:
-                    answers = provider([pdf.prompt.iloc[i] for i in open_])
+                    answers = provider([asks[i] for i in open_])
                 except Exception:  # noqa: BLE001 - a provider's failure is a row's status
                     answers = [None] * len(open_)
                 for i, a in zip(open_, answers):
-                    got[i] = a
                     tries[i] += 1
+                    wrong = task.correct(a) if a is not None and task.correct else None
+                    if wrong is None:
+                        got[i] = a
+                    else:
+                        asks[i] = f"{asks[i]}\n\n{a}\n\n{wrong}"
             yield pdf.assign(completion=got, tries=tries)
 
     out = asked.mapInPandas(call, schema)
@@ -97,6 +104,12 @@ def replay(df: DataFrame, generations: DataFrame, keys: list[str], task: Task) -
     return asked.select(*keys, "attempt", F.when(F.col("completion").isNull(), "error").otherwise("success").alias("status"), *parsed)
 
 
+def one_code_block(answer: str) -> str | None:
+    """What is wrong with an answer that must hold exactly one block of code."""
+    n = len(re.findall(r"```(?:[a-zA-Z0-9+]*\n)?.*?```", answer, re.S))
+    return None if n == 1 else "Your answer has no block of code; give the whole function in one." if n == 0 else "Your answer has several blocks of code; give only one."
+
+
 def _summary(c: Column) -> dict[str, Column]:
     return {"summary": T.labelled(c, "Summary"), "generic": F.lower(T.labelled(c, "Generic")) == "true"}
 
@@ -117,7 +130,7 @@ TASKS = {
         Task("summarise_cluster", "What do these commits share? List when it applies.\n{summaries}", lambda c: {"strategy": T.labelled(c, "Summary"), "conditions": T.conditions(c)}, attempts=5),
         Task("strategy_applies", "Does the strategy apply to the function? Answer as JSON with applicable and explanation.\n{strategy}\n{code}", lambda c: {k: T.json_answer(c)[k] for k in ("applicable", "explanation")}, attempts=5),
         Task("strategy_applies_verified", "Rewrite the function by the strategy, then verify. Answer as JSON and one code block.\n{strategy}\n{code}", _verified, attempts=3),
-        Task("optimise", "Make this function faster. One code block.\n{examples}\n{code}", lambda c: {"code": T.single_block(c)}, attempts=3),
+        Task("optimise", "Make this function faster. One code block.\n{examples}\n{code}", lambda c: {"code": T.single_block(c)}, attempts=3, correct=one_code_block),
         Task("judge_similarity", "Do both changes use the same idea? SIMILAR or DIFFERENT.\n{diff_a}\n{diff_b}", lambda c: {"similar": T.says_similar(c, strict=True)}),
         Task("explain", "Explain this change.\n{diff}", lambda c: {"explanation": T.unwrap_fence(c)}),
     ]
@@ -125,10 +138,9 @@ TASKS = {
 
 
 def status_counts(results: DataFrame) -> DataFrame:
-    """(status, n, share)."""
+    """(status, n, share), in one pass over the results: the total is that of the few rows of counts."""
     per = results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    total = results.count()
-    return per.withColumn("share", F.round(F.col("n") / F.lit(max(total, 1)), 6))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
 
 
 def fewshot_text(examples: DataFrame, key: str, place: str, text: str, score: str) -> DataFrame:

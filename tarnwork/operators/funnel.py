@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import C_EXTENSIONS, contains_any, extension
+from tarnwork.config import DEFAULTS
+from tarnwork.functions.text import C_EXTENSIONS, contains_any, extension, strip
 
 # Words of which one must occur in a message (as a substring, in any case).
 KEYWORDS = [
@@ -34,6 +35,39 @@ def one_function(n: str = "modified_func_count", other: str = "modified_other")
     return F.coalesce((F.col(n) == 1) & ~F.col(other), F.lit(False))
 
 
+def strictly_true(c: str) -> Column:
+    """The flag is set; null is not."""
+    return F.coalesce(F.col(c), F.lit(False))
+
+
+def has_text(c: str) -> Column:
+    """Not null and not blank."""
+    return F.coalesce(strip(F.col(c)) != "", F.lit(False))
+
+
+def small_enough(kb: str, most: int = DEFAULTS.largest_repository_kb) -> Column:
+    """At most so many KB; a missing size counts as 0."""
+    return F.coalesce(F.col(kb), F.lit(0)) <= most
+
+
+def well_formed(df: DataFrame, needed: list[str]) -> DataFrame:
+    """Rows that have all fields that are needed."""
+    return df.na.drop(subset=needed)
+
+
+def not_excluded(c: str, names: list[str]) -> Column:
+    """Not one of the names; null is none of them."""
+    return ~F.coalesce(F.col(c).isin(names), F.lit(False)) if names else F.lit(True)
+
+
+def with_both(df: DataFrame, blobs: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """Rows of which the blobs have a text of every kind; rows with a null key have none."""
+    has = F.lit(True)
+    for k in kinds:
+        has = has & F.max((F.col("kind") == k) & F.col("content").isNotNull())
+    return df.join(blobs.groupBy(*keys).agg(F.coalesce(has, F.lit(False)).alias("_has")).where("_has").drop("_has"), keys, "left_semi")
+
+
 def cumulative_stages(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """Adds a boolean column per stage: whether the row passes it and all before it."""
     passed, cols = F.lit(True), {}

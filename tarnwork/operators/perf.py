@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 LOWER_IS_BETTER = ["micros_per_op", "seconds"]
 HIGHER_IS_BETTER = ["ops_per_sec", "MB_per_sec"]
 
-_NEW = r"^(\w+)\s*:\s*([\d.,]+) micros/op\s+([\d,]+) ops/sec\s+([\d.,]+) seconds\s+([\d,]+) operations;(?:\s*([\d.,]+) MB/s)?(?:\s*\((\d+) of (\d+) found\))?"
-_OLD = r"^(\w+)\s*:\s*([\d.,]+) micros/op\s+([\d,]+) ops/sec;(?:\s*([\d.,]+) MB/s)?(?:\s*\((\d+) of (\d+) found\))?"
+# Result lines of the benchmark as they are taken, in its newer and its older format.
+_NEW = r"^\s*(\w+)\s*:\s*([\d.,]+)\s*micros/op\s*([\d.,]+)\s*ops/sec\s*([\d.]+)\s*seconds\s*([\d,]+)\s*operations;*\s*([\d.]+)?\s*MB/s(?:\s*\((\d+) of (\d+) found\))?"
+_OLD = r"^\s*(\w+)\s*:\s*([\d.,]+)\s*micros/op\s*([\d.,]+)\s*ops/sec;\s*([\d.]+)\s*MB/s(?:\s*\((\d+) of (\d+) found\))?"
 
 
 def parse_db_bench(logs: DataFrame, text: str, old: bool = False) -> DataFrame:
@@ -36,13 +37,16 @@ def parse_redis(logs: DataFrame, text: str) -> DataFrame:
     nothing is shuffled: a block ends where the next title stands.
     """
     keep = [c for c in logs.columns if c != text]
-    blocks = F.filter(F.split(text, r"(?m)^(?=======.*======\s*$)"), lambda b: b.rlike(r"^======.*======"))
-    b = logs.select(*keep, F.posexplode(blocks).alias("_pos", "_b")).withColumn("bench", F.trim(F.regexp_replace(F.regexp_extract("_b", r"^(======[^\n]*)", 1), "[=\r]", "")))
+    blocks = F.filter(F.split(text, r"(?m)^(?=[ \t]*======.*======\s*$)"), lambda b: b.rlike(r"^[ \t]*======.*======"))
+    b = logs.select(*keep, F.posexplode(blocks).alias("_pos", "_b")).withColumn("bench", F.trim(F.regexp_replace(F.trim(F.regexp_extract("_b", r"^([^\n\r]*)", 1)), "^=+|=+$", "")))
     last = Window.partitionBy(*keep, "bench").orderBy(F.desc("_pos"))
     b = b.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    throughput = F.expr(r"try_cast(regexp_extract(_b, '([0-9.]+) requests per second', 1) AS double)")
-    row = F.regexp_extract("_b", r"latency summary \(msec\):[^\n]*\n[^\n]*\n([^\n]*)", 1)
-    numbers = F.transform(F.regexp_extract_all(row, F.lit(r"([0-9.]+)"), F.lit(1)), lambda x: x.cast("double"))
+    rates = F.regexp_extract_all("_b", F.lit(r"throughput summary:\s*([0-9.]+)\s*requests per second"), F.lit(1))
+    throughput = F.try_element_at(rates, F.lit(-1)).try_cast("double")
+    # of several rows of latencies the last that is one counts
+    rows = F.regexp_extract_all("_b", F.lit(r"latency summary \(msec\):[^\n]*\n[^\n]*\n([^\n]*)"), F.lit(1))
+    six = F.transform(rows, lambda r: F.transform(F.slice(F.split(F.trim(F.regexp_replace(r, r"\s+", " ")), " "), 1, 6), lambda x: x.try_cast("double")))
+    numbers = F.coalesce(F.try_element_at(F.filter(six, lambda v: (F.size(v) == 6) & F.forall(v, lambda x: x.isNotNull())), F.lit(-1)), F.array().cast("array<double>"))
     names = ["avg", "min", "p50", "p95", "p99", "max"]
     entries = F.array(F.struct(F.lit("throughput").alias("metric"), throughput.alias("value")), *[F.struct(F.lit(n).alias("metric"), F.when(F.size(numbers) >= 6, F.get(numbers, F.lit(i))).alias("value")) for i, n in enumerate(names)])
     return b.select(*keep, "bench", F.inline(entries)).where("value IS NOT NULL")

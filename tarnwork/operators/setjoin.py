@@ -85,5 +85,42 @@ def range_first(points: DataFrame, spans: DataFrame, value: str, lo: str, hi: st
     Spans are cut into cells of ``width``; points and spans meet by equal cells, not by a loop over pairs.
     """
     cells = spans.select(lo, hi, order, name, F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("_cell"))
-    hit = points.withColumn("_cell", F.floor(F.col(value) / width)).join(cells, "_cell", "left").withColumn("_in", F.col(value).between(F.col(lo), F.col(hi)))
-    return hit.groupBy(*points.columns).agg(F.min_by(F.when(F.col("_in"), F.col(name)), F.when(F.col("_in"), F.col(order))).alias(name))
+    once = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times"))  # equal points are looked up once, and kept as often as they came
+    hit = once.withColumn("_cell", F.floor(F.col(value) / width)).join(cells, "_cell", "left").withColumn("_in", F.col(value).between(F.col(lo), F.col(hi)))
+    found = hit.groupBy(*points.columns, "_times").agg(F.min_by(F.when(F.col("_in"), F.col(name)), F.when(F.col("_in"), F.col(order))).alias(name))
+    return found.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_times")
+
+
+def dedup_rate_total(rates: DataFrame) -> DataFrame:
+    """One row (original, kept, removed_pct) over all groups of ``dedup_rates``; 0 for an empty table."""
+    out = rates.agg(F.coalesce(F.sum("original"), F.lit(0)).alias("original"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    return out.withColumn("removed_pct", F.round(F.when(F.col("original") > 0, 100.0 * (F.col("original") - F.col("kept")) / F.col("original")).otherwise(0.0), 6))
+
+
+def join_versions(versions: dict[str, tuple[DataFrame, list[str]]], key: str, order: list[str | Column], shared: list[str]) -> DataFrame:
+    """Keys that all versions of a table have, with the fields of each as ``<version>_<field>`` and the ``shared`` ones of the first.
+
+    A version has one row a key, the first by ``order``.
+    """
+    out = None
+    for name, (df, fields) in versions.items():
+        keep = [F.col(f).alias(f"{name}_{f}") for f in fields]
+        one = first_per_key(df, [key], order).select(key, *(shared if out is None else []), *keep)
+        out = one if out is None else out.join(one, key)
+    return out
+
+
+def own_row(df: DataFrame, key: list[str], other: list[str], fields: list[str], prefix: str = "parent_") -> DataFrame:
+    """Adds ``fields`` of the row whose ``key`` this row names in ``other`` (a child its parent); null if there is none."""
+    src = first_per_key(df.select(*key, *fields), key, fields).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(f).alias(prefix + f) for f in fields])
+    on = F.lit(True)
+    for i, o in enumerate(other):
+        on = on & (F.col(o) == F.col(f"_k{i}"))
+    return df.join(src, on, "left").drop(*[f"_k{i}" for i in range(len(key))])
+
+
+def lists_by_label(df: DataFrame, label: str, key: str) -> DataFrame:
+    """(label, place, key): the members of each label in order of their key, as rows, so that no label need fit into one."""
+    from tarnwork.operators.windows import rank_in_group
+
+    return rank_in_group(df.select(label, key), [label], [key], "place").select(label, "place", key)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.config import DEFAULTS
 from tarnwork.functions.text import ascii_tokens
 
 #: Queries that are broadcast at once; more are searched in further blocks.
@@ -57,7 +58,7 @@ def _local_top(q_ids: np.ndarray, d_ids: np.ndarray, scores: np.ndarray, allowed
     return pd.concat(rows) if rows else pd.DataFrame({"q_id": [], "d_id": [], "score": []})
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, *, id: str, vector: str, group: str, k: int = 20, other_group_only: bool = True) -> DataFrame:
+def cosine_topk(corpus: DataFrame, queries: DataFrame, *, id: str, vector: str, group: str, k: int = DEFAULTS.top_k, other_group_only: bool = DEFAULTS.ignore_same_repository) -> DataFrame:
     """(q_id, d_id, score, rank): the k rows of highest cosine for each query, of other groups than its own.
 
     Ranked by score to nine digits, then id. Zero and null vectors have cosine 0; a null group differs from every group;
@@ -90,7 +91,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, *, id: str, vector: str,
     return out if out is not None else _rank(docs.select(F.col("d_id").alias("q_id"), "d_id", F.lit(0.0).alias("score")).limit(0), k)
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, *, id: str, text: str, group: str, k: int = 20, other_group_only: bool = True, tokens=ascii_tokens) -> DataFrame:
+def bm25_topk(corpus: DataFrame, queries: DataFrame, *, id: str, text: str, group: str, k: int = DEFAULTS.top_k, other_group_only: bool = DEFAULTS.ignore_same_repository, tokens=ascii_tokens) -> DataFrame:
     """(q_id, d_id, score, rank): Okapi BM25 of each query text against all texts, of other groups than the query's own.
 
     Statistics are over the whole corpus. A word in more than half of the texts gets ``EPSILON`` times the mean idf; a word
@@ -145,13 +146,13 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, *, id: str, text: str, grou
     return out if out is not None else _rank(docs.select(F.col("d_id").alias("q_id"), "d_id", F.lit(0.0).alias("score")).limit(0), k)
 
 
-def topk_unique(found: DataFrame, *, keys: list[str], k: int = 4) -> DataFrame:
+def topk_unique(found: DataFrame, *, keys: list[str], k: int = DEFAULTS.few_shot) -> DataFrame:
     """Of each query's hits the best of every key, and of these the k best, ranked anew."""
     first = Window.partitionBy("q_id", *keys).orderBy(F.desc("score"), "d_id")
     once = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "rank")
     return _rank(once, k)
 
 
-def fewshot_order(found: DataFrame, k: int = 4) -> DataFrame:
+def fewshot_order(found: DataFrame, k: int = DEFAULTS.few_shot) -> DataFrame:
     """The k best hits of each query in ascending order of score, with their place from 1 (ties keep ascending id)."""
     return found.where(F.col("rank") <= k).withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy("score", "d_id")))

@@ -118,3 +118,10 @@ def attempt_rates(df: DataFrame, good: Column, failed: Column) -> DataFrame:
     g, f = F.coalesce(good, F.lit(False)), F.coalesce(failed, F.lit(False))
     out = df.agg(F.count_if(g & ~f).alias("similar"), F.count_if(~g & ~f).alias("different"), F.count_if(f).alias("errors"))
     return out.withColumn("rate", F.round(ratio(F.col("similar"), F.col("similar") + F.col("different")), 6))
+
+
+def best_rate(df: DataFrame, keys: list[str], attempt: str, good: Column, failed: Column) -> DataFrame:
+    """One row (best_similar, best_valid, best_rate): of the best attempts without error, those that are similar."""
+    best = best_attempt(df.select(*keys, attempt, F.coalesce(good, F.lit(False)).alias("_good"), F.coalesce(failed, F.lit(False)).alias("_failed")), keys, attempt, F.col("_good"), F.col("_failed"))
+    out = best.agg(F.count_if(F.col("_good") & ~F.col("_failed")).alias("best_similar"), F.count_if(~F.col("_failed")).alias("best_valid"))
+    return out.withColumn("best_rate", F.round(ratio(F.col("best_similar"), F.col("best_valid")), 6))

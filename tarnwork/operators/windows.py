@@ -51,11 +51,20 @@ def budgeted_pick(df: DataFrame, group: str, order: list[str], length: str, budg
     return both.withColumn("picked", F.row_number().over(by)).where(F.col("picked") <= budget).withColumn("truncated", long)
 
 
-def quota_sample(df: DataFrame, is_a: Column, quota: int, total: int, order_a: list[str | Column], seed_order: list[str | Column]) -> DataFrame:
-    """The first ``quota`` rows of class A by ``order_a``, filled to ``total`` with rows of the other class by ``seed_order``."""
-    a = df.where(is_a).orderBy(*order_a).limit(quota)
-    taken = a.count()
-    return a.unionByName(df.where(~is_a | is_a.isNull()).orderBy(*seed_order).limit(max(0, total - taken)))
+def quota_sample(df: DataFrame, is_a: Column, quota: int, total: int, order_a: list[str | Column], seed_order: list[str | Column], extra: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The rows of ``extra``, of class A up to ``quota`` in all by ``order_a``, filled to ``total`` with rows of the other class by ``seed_order``.
+
+    Rows whose ``keys`` are in ``extra`` are no candidates. What is left of class A does not fill up.
+    """
+    if extra is not None:
+        df = df.join(extra.select(*(keys or df.columns)).distinct(), keys or df.columns, "left_anti")
+        have, have_a = extra.agg(F.count(F.lit(1)), F.count_if(is_a)).first()
+    else:
+        have = have_a = 0
+    a = df.where(is_a).orderBy(*order_a).limit(max(0, min(quota - have_a, total - have)))
+    taken = a.count() + have
+    out = a.unionByName(df.where(~is_a | is_a.isNull()).orderBy(*seed_order).limit(max(0, total - taken)))
+    return out if extra is None else extra.select(*out.columns).unionByName(out)
 
 
 def slices(df: DataFrame, order: list[str], size: int, parts: int) -> DataFrame:

@@ -308,11 +308,12 @@ def fence_unwrap(spark, d):
     return t.select("answer_id", F.md5(T.unwrap_fence(F.col("optimized_code")).cast("binary")).alias("digest"))
 
 
-@query("label_parse", r"WITH t AS (SELECT DISTINCT commit_id, 'Summary: ' || coalesce(message, '') || chr(10) || 'Generic: ' || coalesce(is_opt_ds_simple, 'x') AS a, is_opt_ds_simple AS o FROM all_commit WHERE message IS NULL OR NOT regexp_matches(message, '(?i)(summary|generic):')) SELECT commit_id, coalesce(o, 'x') AS generic FROM t")
+@query("label_parse", r"WITH t AS (SELECT DISTINCT commit_id, coalesce(message, '') || chr(10) || 'GENERIC:  ' || coalesce(is_opt_ds_simple, 'x') || ' ' AS a, coalesce(is_opt_ds_simple, 'x') AS o FROM all_commit) SELECT commit_id, o AS generic, regexp_extract(a, '(?im)^[ \t]*summary:', 0) <> '' AS summarised FROM t")
 def label_parse(spark, d):
-    c = table(spark, d, "all_commit").where(r"message IS NULL OR NOT message RLIKE '(?i)(summary|generic):'").select("commit_id", "message", "is_opt_ds_simple").distinct()
-    a = F.concat(F.lit("Summary: "), F.coalesce("message", F.lit("")), F.lit("\nGeneric: "), F.coalesce("is_opt_ds_simple", F.lit("x")))
-    return c.select("commit_id", T.labelled(a, "Generic").alias("generic"))
+    """The last label counts, whatever labels a message holds itself."""
+    c = table(spark, d, "all_commit").select("commit_id", "message", "is_opt_ds_simple").distinct()
+    a = F.concat(F.coalesce("message", F.lit("")), F.lit("\nGENERIC:  "), F.coalesce("is_opt_ds_simple", F.lit("x")), F.lit(" "))
+    return c.select("commit_id", T.labelled(a, "Generic").alias("generic"), T.labelled(a, "Summary").isNotNull().alias("summarised"))
 
 
 @query("tri_state", "SELECT coalesce(CASE WHEN lower(is_opt_ds_simple) IN ('true', 'false') THEN lower(is_opt_ds_simple) END, 'unknown') AS state, count(*) AS n FROM (SELECT DISTINCT commit_id, is_opt_ds_simple FROM all_commit) GROUP BY 1")
@@ -326,9 +327,9 @@ def truncated_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").distinct().select("doc_id", F.length(T.truncate(F.col("text"), 500, "...[truncated]")).cast("long").alias("n"))
 
 
-@query("similar_verdicts", f"WITH {_ANSWERS} SELECT answer_id, contains(upper(explanation), 'APPLI') AS hit FROM a WHERE explanation IS NOT NULL")
+@query("similar_verdicts", f"WITH {_ANSWERS} SELECT answer_id, contains(upper(explanation), 'SIMILAR') AS hit FROM a WHERE explanation IS NOT NULL")
 def similar_verdicts(spark, d):
-    return answers(spark, d).where("explanation IS NOT NULL").select("answer_id", F.upper("explanation").contains("APPLI").alias("hit"))
+    return answers(spark, d).where("explanation IS NOT NULL").select("answer_id", T.says_similar(F.col("explanation")).alias("hit"))
 
 
 # ---- functions, clustering, completions, streams: no SQL; checked by tests
@@ -382,7 +383,7 @@ def density(spark, d):
 
 @query("choose_k")
 def choose_k(spark, d):
-    return clusters.choose_k(embeddings(spark, d), "vec_id", "embedding", range(2, 8))
+    return clusters.choose_k(embeddings(spark, d), "vec_id", "embedding")
 
 
 @query("llm_replay", f"WITH {_ANSWERS} SELECT assessment_id, count(*) AS asked, count(*) FILTER (explanation IS NULL) AS errors FROM (SELECT assessment_id, k AS attempt FROM (SELECT DISTINCT assessment_id FROM a), (SELECT unnest([1, 2, 3, 4, 5]) AS k)) LEFT JOIN (SELECT assessment_id, attempt, min(explanation) AS explanation FROM a GROUP BY 1, 2) USING (assessment_id, attempt) GROUP BY 1")
@@ -432,13 +433,24 @@ def change_reports(spark, d):
     return codefn.change_report(diff_attribution(spark, d), ["repository_name", "hash", "file_path"])
 
 
-@query("funnel_pipeline", "WITH c AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY loaded_at) AS n FROM all_commit) WHERE n = 1) SELECT count(*) AS one_file FROM c WHERE modified_files_count = 1")
+def _stages_sql() -> str:
+    from tarnwork.plans.funnel_queries import _COMMITS, _HIT, _IS_C
+
+    return f"""WITH {_COMMITS}, s1 AS (FROM c WHERE modified_files_count = 1), s2 AS (FROM s1 WHERE {_IS_C}), s3 AS (FROM s2 WHERE {_HIT}), s4 AS (FROM s3 WHERE modified_func_count = 1 AND NOT modified_other),
+s5 AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY hash, message ORDER BY repository_name NULLS FIRST, commit_id) AS n FROM s4) WHERE n = 1), s6 AS (FROM s5 WHERE lower(is_opt_ds_simple) = 'true')
+SELECT 'one_file' AS stage, count(*) AS n FROM s1 UNION ALL SELECT 'c_language', count(*) FROM s2 UNION ALL SELECT 'is_opt_keyword', count(*) FROM s3 UNION ALL SELECT 'one_func', count(*) FROM s4 UNION ALL SELECT 'deduplicated', count(*) FROM s5 UNION ALL SELECT 'is_opt_final', count(*) FROM s6"""
+
+
+@query("funnel_pipeline", _stages_sql())
 def funnel_pipeline(spark, d):
-    """The funnel as a pipeline of written tables; the first stage is counted, and a second run finds all tables made."""
+    """The funnel as a pipeline of written tables, all stages counted; a second run finds all tables made."""
     from tarnwork.plans.funnel_queries import commits
     from tarnwork.plans.pipeline import FUNNEL, run
 
     root = fresh_path(spark, "funnel")
     for _ in range(2):
         out = run(spark, FUNNEL, {"commits": commits(spark, d)}, root)
-    return out["one_file"].agg(F.count(F.lit(1)).alias("one_file"))
+    counts = [out[name].agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n")) for name, _ in FUNNEL]
+    for c in counts[1:]:
+        counts[0] = counts[0].unionByName(c)
+    return counts[0]

@@ -123,9 +123,12 @@ def url_parts(spark, d):
     return c.select("commit_id", T.owner_and_repo(F.col("github_commit_url"))["owner"].alias("repo"), F.regexp_extract("github_commit_url", r"/commit/([0-9a-f]+)$", 1).alias("sha"))
 
 
-@query("stripped_messages", f"WITH {_COMMITS} SELECT commit_id, length(regexp_replace(message, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS n FROM c")
+_BLANK = r"[\x09-\x0d\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query("stripped_messages", f"WITH {_COMMITS} SELECT commit_id, length(regexp_replace(message, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS n FROM c")
 def stripped_messages(spark, d):
-    return commits(spark, d).select("commit_id", F.length(F.regexp_replace("message", r"^[ \t\r\n]+|[ \t\r\n]+$", "")).alias("n"))
+    return commits(spark, d).select("commit_id", F.length(T.strip(F.col("message"))).alias("n"))
 
 
 @query("joined_files", f"WITH {_COMMITS} SELECT commit_id, coalesce(array_to_string(modified_files, ', '), '') AS files, coalesce(array_to_string(modified_func, ', '), '') AS funcs FROM c")
@@ -133,10 +136,9 @@ def joined_files(spark, d):
     return commits(spark, d).select("commit_id", F.coalesce(F.array_join("modified_files", ", "), F.lit("")).alias("files"), F.coalesce(F.array_join("modified_func", ", "), F.lit("")).alias("funcs"))
 
 
-@query("date_cutoff", f"WITH {_COMMITS} SELECT commit_id FROM c WHERE regexp_matches(date, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(Z|[+-]\\d\\d:\\d\\d)$') AND try_cast(replace(date, 'Z', '+00:00') AS TIMESTAMPTZ) < TIMESTAMPTZ '2023-06-02 16:39:14-07:00'")
+@query("date_cutoff", f"WITH {_COMMITS} SELECT commit_id FROM c WHERE try_cast(replace(date, 'Z', '+00:00') AS TIMESTAMPTZ) < TIMESTAMPTZ '2023-06-02 16:39:14-07:00'")
 def date_cutoff(spark, d):
-    iso = F.when(F.col("date").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp("date", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-    return commits(spark, d).where(iso < F.expr("timestamp'2023-06-02 16:39:14-07:00'")).select("commit_id")
+    return commits(spark, d).where(T.parse_offset_time(F.col("date")) < F.expr("timestamp'2023-06-02 16:39:14-07:00'")).select("commit_id")
 
 
 @query("incremental_skip", f"WITH {_COMMITS} SELECT commit_id FROM c WHERE commit_id NOT IN (SELECT commit_id FROM summary_commit)")

@@ -16,14 +16,22 @@ README_NAMES = [
 ]
 
 
-def commits_by_repository(spark: SparkSession, root: str, stage: str = "all_commit", schema: str = COMMIT) -> DataFrame:
-    """JSON arrays in <root>/<repository>/<stage>.json; the repository is the folder's name. Missing keys are null."""
+def commits_by_repository(spark: SparkSession, root: str, stage: str = "all_commit", schema: str = COMMIT, lines: bool = False) -> DataFrame:
+    """JSON arrays in <root>/<repository>/<stage>.json; the repository is the folder's name. Missing keys are null.
+
+    With ``lines``, folders repository_name=<repository> of JSON lines, as ``write_json`` leaves them; these can be split.
+    """
+    if lines:
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+        df = spark.read.schema(schema).json(f"{root}/*/")
+        return df.select(F.when(name != "__HIVE_DEFAULT_PARTITION__", F.url_decode(name)).alias("repository_name"), "*")
     df = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/{stage}.json")
     return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+\.json$", 1).alias("repository_name"), "*")
 
 
-def commits(spark: SparkSession, path: str, schema: str = "repository_name string, " + COMMIT) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def commits(spark: SparkSession, path: str, schema: str = "repository_name string, " + COMMIT, lines: bool = False) -> DataFrame:
+    """A JSON array of commits, or JSON lines."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def clusters(spark: SparkSession, path: str, value: str) -> DataFrame:

@@ -314,3 +314,99 @@ def test_nested_metrics_of_nothing(spark):
 def test_inertia_by_hand(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [2.0, 0.0]), (2, [5.0, 5.0])], "c int, v array<double>")
     assert {r.c: (r["size"], r.inertia) for r in clusters.inertia(df, "c", "v").collect()} == {1: (2, 2.0), 2: (1, 0.0)}
+
+
+def test_spans_count_every_line_of_a_body_and_pass_over_unclosed_ones():
+    body = "int f(int a)\n{\n#define B {\n  x;\n}\n}\nint g(void) {\n  y;\n}\n"
+    assert codefn.function_spans(body) == [("f", 1, 6), ("g", 7, 9)]
+    unclosed = "static int f(int a) {\n  if (a) {\nint g(void) { return 1; }\n"
+    assert codefn.function_spans(unclosed) == []
+    feed = "int f(void) {\n  a;\x0c b;  c;\n}\nint g(void) {\n  d;\n}\n"
+    assert codefn.function_spans(feed) == [("f", 1, 3), ("g", 4, 6)]
+    assert [c[6] for c in codefn.changes(feed, feed.replace("d;", "e;"))] == ["g"]
+    # the brackets of a head over several lines must close before its { counts
+    assert codefn.function_spans("int f(int a,\n  int b)\n{\n}\n") == [("f", 1, 4)]
+
+
+def test_changes_have_null_where_nothing_stood():
+    (one,) = codefn.changes("a\nb\n", "a\nx\nb\n")
+    assert one[1] == "insert" and one[7] is None and one[8] == "x\n"
+    (one,) = codefn.changes("a\nx\nb\n", "a\nb\n")
+    assert one[1] == "delete" and one[7] == "x\n" and one[8] is None
+
+
+def test_commit_rows(spark):
+    f = "int f(int a) {\n  return a;\n}\n"
+    g = "int g(int a) {\n  return a;\n}\n"
+    rows = [
+        ("one", "a.c", f + g, f.replace("return a", "return a + 1") + g), ("two", "a.c", f + g, f.replace("a;", "b;") + g.replace("a;", "b;")), ("two", "b.c", f, f.replace("a;", "c;")),
+        ("new", "a.cc", f, f + g), ("other", "a.c", "int x;\n" + f, "int y;\n" + f), ("python", "a.py", f, g), ("half", "a.c", f, None), (None, "a.h", f, f),
+    ]
+    df = spark.createDataFrame(rows, "hash string, file_path string, b string, a string")
+    got = {r.hash: r for r in codefn.commit_rows(df, ["hash"], "file_path", "b", "a").collect()}
+    assert (got["one"].modified_func, got["one"].before_func, got["one"].after_func) == (["f"], f.strip(), f.replace("return a", "return a + 1").strip())
+    assert got["two"].modified_func == ["f", "g"] and got["two"].modified_func_count == 2 and got["two"].before_func is None
+    assert (got["new"].modified_func, got["new"].before_func, got["new"].after_func) == (["g"], None, g.strip())
+    assert got["other"].modified_other and got["other"].modified_func == []
+    assert all(got[k].modified_func_count == 0 and not got[k].modified_other for k in ("python", "half"))
+    ordered = codefn.modified_functions(codefn.attribute_changes(spark.createDataFrame([(1, g + f, g.replace("a;", "b;") + f.replace("a;", "b;"))], "k int, b string, a string"), ["k"], "b", "a"), ["k"]).first()
+    assert ordered.modified_func == ["g", "f"] and ordered.replaces == 2
+
+
+def test_accents_fold_in_any_script(spark):
+    assert one(spark, T.word_tokens(F.col("c")), c="Été Ελλάδα naïve éa Łódź 中文 x") == ["ete", "ελλαδα", "naive", "ea", "łodz", "中文"]
+    assert one(spark, T.blank_tokens(F.col("c")), c=" a b\n c ") == ["a", "b", "c"]
+
+
+def test_log_lines_as_they_are_taken(spark):
+    log = "  fillseq : 2.5 micros/op 399000.5 ops/sec 2.5 seconds 1,000 operations; 44.1 MB/s\nreadrandom : 3.0 micros/op 1 ops/sec 2 seconds 3 operations;\n"
+    got = {(r.bench, r.metric): r.value for r in perf.parse_db_bench(spark.createDataFrame([("h", log)], "hash string, t string"), "t").collect()}
+    assert got[("fillseq", "ops_per_sec")] == 399000.5 and not any(b == "readrandom" for b, _ in got)
+    red = "  ====== SET ======\n  9 requests per second of another kind\n  throughput summary: 1.5 requests per second\n  throughput summary: 2.5 requests per second\n  latency summary (msec):\n h\n 1 2 3 4 5 x\n"
+    got = {(r.bench, r.metric): r.value for r in perf.parse_redis(spark.createDataFrame([("h", red)], "hash string, t string"), "t").collect()}
+    assert got == {("SET", "throughput"): 2.5}
+
+
+def test_equal_points_stay_apart(spark):
+    pts = spark.createDataFrame([(1, 5), (1, 5), (2, 50)], "k int, v int")
+    spans = spark.createDataFrame([(0, 10, 1, "low")], "lo int, hi int, o int, name string")
+    got = [(r.k, r.name) for r in setjoin.range_first(pts, spans, "v", "lo", "hi", "o", "name", 10).collect()]
+    assert sorted(got, key=str) == [(1, "low"), (1, "low"), (2, None)]
+
+
+def test_one_dendrogram_gives_every_cut():
+    rnd = np.random.default_rng(7)
+    x = rnd.standard_normal((40, 3))
+    merges = clusters.ward_merges(x)
+    for k in (1, 2, 5, 39):
+        # brute force: join the pair whose union adds least to the sum of squares
+        groups = [[i] for i in range(40)]
+        while len(groups) > k:
+            cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+            _, i, j = min((cost(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            groups[i] += groups.pop(j)
+        labels = clusters.cut_merges(merges, 40, k)
+        assert {frozenset(g) for g in groups} == {frozenset(np.nonzero(labels == c)[0].tolist()) for c in set(labels)}
+
+
+def test_kmeans_variants(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, (np.eye(3)[i % 3] * 5 + rnd.normal(0, 0.1, 3)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    got = {r.k: r.cluster for r in clusters.kmeans(df, "v", 3, starts=3).collect()}
+    assert len({(i % 3, c) for i, c in got.items()}) == 3
+    x = np.array([v for _, v in rows])
+    labels = {r.k: r.cluster for r in clusters.minibatch_kmeans(df, "k", "v", 3, batches=4, passes=4).collect()}
+    at = np.array([labels[i] for i in range(90)])
+    assert sum(((x[at == c] - x[at == c].mean(axis=0)) ** 2).sum() for c in set(at)) < 0.7 * ((x - x.mean(axis=0)) ** 2).sum()
+    assert clusters.minibatch_kmeans(df.limit(0), "k", "v", 3).count() == 0
+
+
+def test_a_model_is_told_what_was_wrong(spark):
+    def provider(prompts):
+        return ["```a```" if "only one" in p else "```a``` ```b```" for p in prompts]
+
+    df = spark.createDataFrame([(1, "f")], "k int, code string")
+    out = completions.run(df, ["k"], completions.TASKS["optimise"], provider).collect()
+    assert {r.code for r in out} == {"a"} and all(r.status == "success" for r in out)
+    assert completions.one_code_block("none") and completions.one_code_block("```x```") is None
