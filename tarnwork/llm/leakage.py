@@ -9,9 +9,11 @@ some stretch has more than three words, that is at least ``SEED``.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.staging import stage
+
 SEED = 4
 MIN_WORDS = 18
 ERROR_SHARE = 5  # one altered word in so many
+OWN_ITEMS = 4  # a word of at most so many items tells them from others of the same style
 #: Words of test items in one automaton; more items are scanned in several blocks, so that no broadcast outgrows it.
 BLOCK_WORDS = 2_000_000
 
@@ -74,85 +79,91 @@ def without_shared_opening(texts: list[str]) -> list[list[str]]:
     return [[w for s in p[a:] for w in s] for p, a in zip(parts, at)]
 
 
+#: The longest passage that must be looked for: of a longer one, cut between two intact neighbours with ``MIN_WORDS`` on both
+#: sides, one part is a passage too. (Were there no such neighbours, more than one word in ERROR_SHARE would be altered.)
+MOST_WORDS = (2 * MIN_WORDS - 1) * ERROR_SHARE // (ERROR_SHARE - 2)
+#: Errors in it, and so by how much a passage leaves the diagonal of any of its words.
+SLACK = MOST_WORDS // ERROR_SHARE
+PIECE = 2048  # document words that are aligned at a time; pieces overlap by the longest passage
+
+
 def holds_passage(item: list[str], doc: list[str], own: set[str] | frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """(first, last) place in ``doc`` of a passage of the item, or None.
 
-    A passage is an alignment of at least MIN_WORDS consecutive item words with doc words in order, in which altered, missing
-    and foreign words together are at most one in ERROR_SHARE of the item's words. Of ``own``, the words that tell the
-    item from others in the same style, at least half must occur: a question of the same style differs in just these.
+    A passage is an alignment of at least MIN_WORDS consecutive item words with doc words in order, the first and the last of
+    them intact, in which altered, missing and foreign words together are at most one in ERROR_SHARE of the item's words; they may
+    stand side by side. Of ``own``, the words that tell the item from others in the same style, at least half must occur: a
+    question of the same style differs in just these.
     """
-    n, m = len(item), len(doc)
     there = set(doc)
-    # bound: were every item word that occurs in the document matched, would it be enough?
-    hit = np.fromiter((w in there for w in item), dtype=np.int8, count=n)
-    if _window(hit) is None:
+    # bound: were every item word that occurs in the document matched, where could a passage begin?
+    times = Counter(item)
+    flag = lambda f: np.fromiter(map(f, item), dtype=bool, count=len(item))
+    starts = np.nonzero(_starts(flag(there.__contains__), flag(own.__contains__), flag(lambda w: times[w] == 1)))[0]
+    if not len(starts):
         return None
-    # best[j] of alignments that end at (i, j): (score, item words, start in doc); score = matches - 4 * errors
-    # A passage needs score >= 0 over its item words; prefixes that fall below -B cannot recover: kept by score alone.
-    step = ERROR_SHARE - 1
-    place = defaultdict(list)
-    for j, w in enumerate(doc):
-        place[w].append(j)
-    # sparse chaining over matches (i, j): a gap of (di, dj) item and doc words costs max(di, dj) errors
-    nodes = [(i, j) for i, w in enumerate(item) if w in place for j in place[w]]
-    if len(nodes) > 40_000:  # a word that fills the document: keep matches beside another match of the same diagonal
-        near = set(nodes)
-        nodes = [(i, j) for i, j in nodes if (i + 1, j + 1) in near or (i - 1, j - 1) in near]
-    nodes.sort()
-    recent: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-    for i, j in nodes:
-        # per start item word: best score and doc start; only undominated starts are kept
-        mine: dict[int, tuple[int, int]] = {i: (1, j)}
-        for di in range(1, MAX_GAP + 2):
-            for dj in range(1, MAX_GAP + 2):
-                got = recent.get((i - di, j - dj))
-                if not got:
-                    continue
-                lost = step * max(di - 1, dj - 1) + max(0, dj - di)
-                for s, (score, d0) in got.items():
-                    sc = score + 1 - lost
-                    if sc > -step * (MAX_GAP + 1) and (s not in mine or mine[s][0] < sc):
-                        mine[s] = (sc, d0)
-        best = -(10**9)
-        kept = {}
-        for s in sorted(mine):  # an earlier start is longer: a later one only helps if it scores better
-            if mine[s][0] > best:
-                kept[s] = mine[s]
-                best = mine[s][0]
-        recent[i, j] = kept
-        for s, (score, d0) in kept.items():
-            if score < 0 or i - s + 1 < MIN_WORDS:
-                continue
-            telling = [w for w in item[s : i + 1] if w in own]
-            if 2 * len({*telling} & {*doc[d0 : j + 1]}) >= len({*telling}):
-                return d0, j
+    number = {w: k for k, w in enumerate(dict.fromkeys(item))}
+    x = np.fromiter((number[w] for w in item), dtype="int64", count=len(item))
+    y = np.fromiter((number.get(w, -1) for w in doc), dtype="int64", count=len(doc))
+    for lo in range(0, len(doc), PIECE):
+        for s, length, first, last in _alignments(x, y[lo : lo + PIECE + MOST_WORDS + SLACK], starts):
+            telling = own.intersection(item[s : s + length])
+            if 2 * len(telling.intersection(doc[lo + first : lo + last + 1])) >= len(telling):
+                return lo + first, lo + last
     return None
 
 
-#: Item or document words in a row that an alignment may skip.
-MAX_GAP = 4
+def _alignments(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first item word, item words, first doc word, last doc word) of each passage that begins at one of ``starts``, shorter ones first.
 
-
-def _window(hit: np.ndarray) -> tuple[int, int] | None:
-    """A window of at least MIN_WORDS flags of which at most one in ERROR_SHARE is 0."""
-    if len(hit) < MIN_WORDS:
-        return None
-    run = np.concatenate([[0], np.cumsum(np.where(hit > 0, 1, -(ERROR_SHARE - 1)))])
-    low = np.minimum.accumulate(run)
-    ok = np.nonzero(run[MIN_WORDS:] >= low[: len(run) - MIN_WORDS])[0]
-    if not len(ok):
-        return None
-    j = int(ok[0]) + MIN_WORDS
-    return int(np.argmin(run[: j - MIN_WORDS + 1])), j
+    Edit distances of all item parts from these places on, a row a word, over all doc words at once; the high bits
+    of a cell are its errors, the low ones the doc word where it began.
+    """
+    n, one, far = len(x), 1 << 32, np.int64(1 << 50)
+    column = np.arange(len(y), dtype="int64")
+    along = column * one
+    same = x[:, None] == y[None]
+    at = starts[same[starts].any(axis=1)]
+    v = np.where(same[at], column[None], far)
+    for r in range(1, min(MOST_WORDS, n)):
+        if len(at) and at[-1] + r >= n:
+            stay = at + r < n
+            at, v = at[stay], v[stay]
+        if not len(at) or v.min() >= (SLACK + 1) * one:
+            return
+        hit = same[at + r]
+        met = np.full_like(v, far)
+        met[:, 1:] = v[:, :-1] + np.where(hit[:, 1:], 0, one)
+        if r + 1 >= MIN_WORDS:
+            ends = hit & (met < ((r + 1) // ERROR_SHARE + 1) * one)
+            for s, j in np.argwhere(ends):
+                yield int(at[s]), r + 1, int(met[s, j] & (one - 1)), int(j)
+        v = np.minimum(met, v + one)  # an item word goes with the next doc word, or is missing
+        v = np.minimum.accumulate(v - along, axis=1) + along  # foreign words
+
+
+def _starts(hit: np.ndarray, own: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Where a passage could begin if all words that occur in the document (``hit``) were in their place; flags by (item, word) or by word.
+
+    Bounds of what a passage asks for: intact words, four to an altered one; and of the words of ``own`` as many that occur as that do not (of
+    the latter only those that stand ``once`` in their item are sure to count).
+    """
+    zero = np.zeros((*hit.shape[:-1], 1), dtype="int64")
+    run = np.concatenate([zero, np.cumsum(np.where(hit, 1, 1 - ERROR_SHARE), axis=-1)], axis=-1)
+    tell = np.concatenate([zero, np.cumsum(np.where(own, np.where(hit, 1, np.where(once, -1, 0)), 0), axis=-1)], axis=-1)
+    out = np.zeros(hit.shape, dtype=bool)
+    for size in range(MIN_WORDS, min(MOST_WORDS, hit.shape[-1]) + 1):
+        out[..., : run.shape[-1] - size] |= (run[..., size:] >= run[..., :-size]) & (tell[..., size:] >= tell[..., :-size])
+    return out & hit
 
 
 def own_words(items: list[list[str]]) -> set[str]:
-    """Words of at most one item in fifty (or of two)."""
+    """Words of at most ``OWN_ITEMS`` items."""
     df: dict[str, int] = defaultdict(int)
     for ws in items:
         for w in set(ws):
             df[w] += 1
-    return {w for w, n in df.items() if n <= max(2, len(items) // 50)}
+    return {w for w, n in df.items() if n <= OWN_ITEMS}
 
 
 class Finder:
@@ -161,19 +172,33 @@ class Finder:
     def __init__(self, items: list[tuple[int, list[str]]], own: set[str] | None = None):
         import ahocorasick
 
-        self.items = dict(items)
+        self.items = [(k, ws) for k, ws in items if len(ws) >= SEED]
         self.own = own_words([ws for _, ws in items]) if own is None else own
         seeds = defaultdict(list)
-        for key, ws in items:
+        for row, (_, ws) in enumerate(self.items):
             for i in range(len(ws) - SEED + 1):
-                seeds[" " + " ".join(ws[i : i + SEED]) + " "].append((key, i))
+                seeds[" " + " ".join(ws[i : i + SEED]) + " "].append((row, i))
         self.automaton = ahocorasick.Automaton()
-        for s, at in seeds.items():
-            self.automaton.add_word(s, at)
+        self.at = [np.array(at, dtype="int64") for at in seeds.values()]  # (item, place) of each seed
+        for k, s in enumerate(seeds):
+            self.automaton.add_word(s, k)
         self.empty = not seeds
         self.known: dict[str, str] = {}
         if seeds:
             self.automaton.make_automaton()
+        # numbers of the items' words, and each item as a row of them; the last number is no word
+        self.number: dict[str, int] = {}
+        for _, ws in self.items:
+            for w in ws:
+                self.number.setdefault(w, len(self.number))
+        shape = len(self.items), max([len(ws) for _, ws in self.items], default=0)
+        self.rows = np.full(shape, len(self.number), dtype="int64")
+        self.own_at, self.once = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+        for row, (_, ws) in enumerate(self.items):
+            times = Counter(ws)
+            self.rows[row, : len(ws)] = [self.number[w] for w in ws]
+            self.own_at[row, : len(ws)] = [w in self.own for w in ws]
+            self.once[row, : len(ws)] = [times[w] == 1 for w in ws]
 
     def flat(self, text: str) -> str:
         """The words of ``words(text)`` between blanks, without their offsets."""
@@ -190,35 +215,34 @@ class Finder:
                 out.append(n)
         return " " + " ".join(out) + " "
 
+    def possible(self, rows: np.ndarray, doc: list[str]) -> np.ndarray:
+        """Those of the items that could have a passage if every word they share with the document were in its place."""
+        there = np.zeros(len(self.number) + 1, dtype=bool)
+        get = self.number.get
+        there[[k for w in set(doc) if (k := get(w)) is not None]] = True
+        return rows[_starts(there[self.rows[rows]], self.own_at[rows], self.once[rows]).any(axis=1)]
+
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, start, end) with offsets in the original text, one per item that leaked."""
         if self.empty or not text or next(self.automaton.iter(self.flat(text)), None) is None:
             return []
         found = words(text)
-        flat = " " + " ".join([w for w, _, _ in found]) + " "
-        ends = np.cumsum([len(w) + 1 for w, _, _ in found])  # of each word in flat, with the blank before it
-        near: dict[int, list[int]] = defaultdict(list)
-        for end, at in self.automaton.iter(flat):
-            last = int(np.searchsorted(ends, end))  # the word that ends before this blank
-            for key, i in at:
-                near[key].append(last - SEED + 1 - i)
-        out = []
         plain = [w for w, _, _ in found]
-        for key, shifts in near.items():
-            item = self.items[key]
-            slack = len(item) // ERROR_SHARE + MAX_GAP
+        ends = np.cumsum([len(w) + 1 for w in plain])  # of each word in the flat text, with the blank before it
+        got = list(self.automaton.iter(" " + " ".join(plain) + " "))
+        last = np.searchsorted(ends, [end for end, _ in got])  # the word that ends before this blank
+        at = [self.at[k] for _, k in got]
+        item = np.concatenate([a[:, 0] for a in at])
+        shift = np.repeat(last - SEED + 1, [len(a) for a in at]) - np.concatenate([a[:, 1] for a in at])
+        out = []
+        for row in self.possible(np.unique(item), plain):
+            key, ws = self.items[row]
             # one stretch of the document for the diagonals that lie close together
-            shifts = sorted(set(shifts))
-            groups = [[shifts[0], shifts[0]]]
-            for s in shifts[1:]:
-                if s - groups[-1][1] <= 2 * slack:
-                    groups[-1][1] = s
-                else:
-                    groups.append([s, s])
-            for lo, hi in groups:
-                a, b = max(0, lo - slack), min(len(plain), hi + len(item) + slack)
-                if got := holds_passage(item, plain[a:b], self.own):
-                    out.append((key, found[a + got[0]][1], found[a + got[1]][2]))
+            shifts = np.unique(shift[item == row])
+            for part in np.split(shifts, np.nonzero(np.diff(shifts) > 2 * SLACK)[0] + 1):
+                a, b = max(0, int(part[0]) - SLACK), min(len(plain), int(part[-1]) + len(ws) + SLACK)
+                if place := holds_passage(ws, plain[a:b], self.own):
+                    out.append((key, found[a + place[0]][1], found[a + place[1]][2]))
                     break
         return out
 
@@ -244,6 +268,56 @@ def without_passages(text: str, finder: Finder, share: float = 0.4) -> str:
     return "".join(out) + text[done:]
 
 
+_FINDERS: dict[str, Finder] = {}
+
+
+def finder_of(token: str, items: list[tuple[int, list[str], list[str]]]) -> Finder:
+    """The finder of a block of items; a worker process builds it once, however many tasks it runs."""
+    if token not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[token] = Finder([(k, ws) for k, ws, _ in items], {w for _, _, own in items for w in own})
+    return _FINDERS[token]
+
+
+def item_table(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, words, own, block): the words of each item behind the opening that it shares, and those of them that tell it from others.
+
+    Computed where the rows are: openings meet as digests, words as counts. A block is of about ``BLOCK_WORDS`` words.
+    """
+    once = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL").groupBy("item_id").agg(F.max("t").alias("t"))
+
+    @F.pandas_udf("sentences array<array<string>>, openings array<string>, whole string")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            sentences = [[w for w, _, _ in words(s)] for s in _SENTENCE.split(t) if s.strip()]
+            so_far, openings = hashlib.blake2b(digest_size=16), []
+            for ws in sentences:
+                so_far.update((" ".join(ws) + "\n").encode("utf-8", "replace"))
+                openings.append(so_far.hexdigest())
+            rows.append((sentences, openings, openings[-1] if openings else ""))
+        return pd.DataFrame(rows, columns=["sentences", "openings", "whole"])
+
+    parsed = stage(once.select("item_id", parse("t").alias("p")).select("item_id", "p.*"), "items")
+    shared = parsed.select("whole", F.explode("openings").alias("opening")).distinct().groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("opening")
+    at = parsed.select("item_id", F.posexplode("openings").alias("at", "opening")).join(shared, "opening").groupBy("item_id").agg((F.max("at") + 1).alias("at"))
+    behind = F.slice("sentences", F.coalesce("at", F.lit(0)) + 1, F.greatest(F.size("sentences"), F.lit(1)))
+    own_part = stage(parsed.join(at, "item_id", "left").select("item_id", F.flatten(behind).alias("words")).where(F.size("words") >= MIN_WORDS), "items")
+    said = own_part.select("item_id", F.explode(F.array_distinct("words")).alias("w"))
+    rare = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= OWN_ITEMS).select("w")
+    own = said.join(rare, "w").groupBy("item_id").agg(F.collect_list("w").alias("own"))
+    blocks = -(-(own_part.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS)
+    out = own_part.join(own, "item_id", "left").select("item_id", "words", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
+    return stage(out.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))).cast("int")), "items")
+
+
+def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, list[str], list[str]]]]:
+    """(item, words, own words) of one block after the other; no more than a block is on the driver."""
+    table = item_table(items, item_id, item_text)
+    for (block,) in table.select("block").distinct().orderBy("block").collect():
+        yield [tuple(r) for r in table.where(F.col("block") == block).select("item_id", "words", "own").orderBy("item_id").collect()]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, start, end): each item of which a passage occurs in a document, with a place of it.
 
@@ -252,27 +326,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, ite
     texts are scanned whole. Items beyond ``BLOCK_WORDS`` words are scanned in further blocks.
     """
     spark = docs.sparkSession
-    got = items.select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL").groupBy("k").agg(F.max("t").alias("t")).orderBy("k").collect()
-    own = list(zip([r.k for r in got], without_shared_opening([r.t for r in got])))
-    own_broadcast = spark.sparkContext.broadcast(own_words([ws for _, ws in own]))
-    blocks, size = [[]], 0
-    for key, ws in own:
-        if size + len(ws) > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((key, ws))
-        size += len(ws)
     once = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= 2 * MIN_WORDS)
+    kind = "doc_id long, item_id long, start int, end int"
     out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+    for block in item_blocks(items, item_id, item_text):
+        shared, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            finder = Finder(shared.value, own_broadcast.value)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, token=token) -> Iterator[pd.DataFrame]:
+            finder = finder_of(token, shared.value)
             for pdf in batches:
                 rows = [(d, *hit) for d, t in zip(pdf.doc_id, pdf.text) for hit in finder.find(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end"])
 
-        part = once.mapInPandas(scan, "doc_id long, item_id long, start int, end int")
+        part = once.mapInPandas(scan, kind)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], kind)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("start", "end")).alias("at")).select("doc_id", "item_id", "at.start", "at.end")

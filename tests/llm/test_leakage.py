@@ -109,3 +109,49 @@ def test_passages_are_cut_out_with_their_sentences():
     text = "Plain words stand before it. " + ITEMS[6] + ". And plain words stand after it."
     got = without_passages(text, Finder([(6, ITEMS[6].split())]))
     assert got.split() == "Plain words stand before it. And plain words stand after it.".split()
+
+
+def test_altered_words_may_stand_together():
+    ws = ITEMS[1].split()[:30]
+    gap = ws[:12] + ["other"] * 6 + ws[18:]
+    assert found(" ".join(gap)) == {1}
+    assert found(" ".join(ws[:12] + ws[18:])) == {1}
+    assert found(" ".join(ws[:11] + ["other"] * 7 + ws[18:])) == set()
+
+
+def test_long_documents_full_of_item_words():
+    """A passage near the limit is found wherever it stands among tens of thousands of the item's words out of order."""
+    r = random.Random(5)
+    ws = ITEMS[3].split()
+    noise = lambda n: " ".join(r.choice(ws) for _ in range(n))
+    part = [("other" if i in (4, 9, 14) else w) for i, w in enumerate(ws[:19])]
+    assert found(noise(9000)) == set()
+    assert found(noise(7000) + " " + " ".join(part) + " " + noise(7000)) == {3}
+
+
+def test_brute_force_agrees_on_edits():
+    """Against edit distances of every part of the item and of the document, for deletions and insertions too."""
+
+    def brute(x, y):
+        for s in range(len(x)):
+            for d in range(len(y)):
+                if x[s] != y[d]:
+                    continue
+                row = list(range(len(y) - d + 1))
+                for e in range(s + 1, len(x) + 1):
+                    new = [e - s]
+                    for k in range(1, len(y) - d + 1):
+                        new.append(min(row[k] + 1, new[-1] + 1, row[k - 1] + (x[e - 1] != y[d + k - 1])))
+                    row = new
+                    if e - s >= 18 and any(x[e - 1] == y[d + k - 1] and 5 * row[k] <= e - s for k in range(1, len(row))):
+                        return True
+        return False
+
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(44)]
+    for _ in range(25):
+        p, doc = r.choice([0.04, 0.09, 0.14]), []
+        for w in base:
+            x = r.random()
+            doc += ["altered"] if x < p else [] if x < 1.6 * p else [w, "more"] if x < 2 * p else [w]
+        assert (holds_passage(base, doc) is not None) == brute(base, doc)
