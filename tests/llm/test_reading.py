@@ -111,3 +111,55 @@ def test_a_line_is_judged_by_all_its_words():
     assert len(r.prose_of(late, weights, rarity)[0]) == 1
     assert r.prose_of(early, weights, rarity)[0] == []
     assert r.line_slots(late) != r.line_slots(late[: len(late) // 2])
+
+
+def test_a_batch_equals_its_texts_one_by_one():
+    """The arrays of a batch say what plain loops over one text say: lines, their scores, stretches and features."""
+    rnd = random.Random(8)
+    mixed = ["It’s the user's `x` value, see lib/a.c: read_all it. And so; because the\tlist (of 12) grew, we stop!", "naïve ünder 中文 words ok.", "- Call foo_bar now. Then wait", "## head", "===", "see https://a.b/c and [t](u) here", ""]
+    texts = ["\n".join(rnd.choice(mixed + LEVEL[3] + CODE) for _ in range(30)) for _ in range(12)]
+    docs = [(passage(k % 4 + 1, rnd), True) for k in range(60)] + [("\n".join(rnd.choice(CODE + LOG) for _ in range(20)), False) for _ in range(60)]
+    rarity = np.random.default_rng(2).random(r.RARITY_BUCKETS)
+    model = r.train(graded(), rarity, r.fit_lines(docs))
+    reader = r.Reader(model)
+    kept, _, (ids, line, owner) = reader.prose(texts)
+    raw = [x for t in texts for x in r.plain_lines(t).split("\n")]
+    scores = r.line_sums(reader.known, ids, line, len(raw), model.lines)
+    for k, x in enumerate(raw):
+        slots = r.line_slots(r._NAME_WORD.sub(" ` ", x))
+        want = model.lines[slots].sum() / np.sqrt(max(1, len(slots))) + model.lines[-1]
+        assert abs(scores[k] - want) < 1e-9
+    use = kept[line] & reader.known.flag["word"][ids]
+    stop = np.concatenate([[0], np.cumsum(reader.known.flag["stop"][ids[:-1]] | (line[1:] != line[:-1]))])
+    first = reader.cut(ids[use], stop[use], owner[use])
+    got = reader.features(ids[use], first)
+    at, want = 0, []
+    for t in texts:
+        lines = [r._NAME_WORD.sub(" ` ", x) for x in r.plain_lines(t).split("\n")]
+        mine = [x for k, x in enumerate(lines) if kept[at + k]]
+        at += len(lines)
+        want += [r.features(ws, rarity, model.graded, model.unseen) for ws in r.stretches(mine)]
+    assert kept.any() and got.shape == np.array(want).shape and np.allclose(got, np.array(want))
+    model_finder = None
+    whole = reader.levels(texts + [None, ""], model_finder)
+    assert whole == [r.Reader(model).levels([t], None)[0] for t in texts + [None, ""]]
+
+
+def test_typographic_apostrophes_and_repeats_do_not_make_words_rare(spark):
+    docs = spark.createDataFrame([(1, "it’s fine"), (1, "it’s fine"), (2, "it's late"), (3, None), (None, "it's")], "doc_id long, text string")
+    table = r.rarity_table(docs, "doc_id", "text")
+    import zlib
+
+    n = (4 + 1) / np.exp(table[[zlib.crc32(w.encode()) % r.RARITY_BUCKETS for w in ("it's", "fine")]])
+    assert np.allclose(n, [3, 1])
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    import tarnwork.llm.leakage as m
+
+    docs, _ = frame(spark)
+    secret = [(k, " ".join(f"word{j}x{k} of the item number {j}" for j in range(20))) for k in range(1, 4)]
+    docs += [(900 + k, t, "note", 0) for k, t in secret]
+    one = run(spark, docs, secret)
+    monkeypatch.setattr(m, "BLOCK_WORDS", 100)
+    assert run(spark, docs, secret) == one and not any(900 + k in one for k, _ in secret)
