@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,17 +28,20 @@ from pyspark.sql import functions as F
 from tarnwork.staging import stage
 
 MIN_COMMITS = 5  # records that a term must occur in
-STRIP_CELLS = 16_000_000  # cells of the matrix of terms that a worker counts at a time
-HELD_TERMS = 10_000_000  # terms of records that a worker holds before it counts them
+COUNTING, COUNTED = 512, 10_000  # tasks that count pairs of terms, and records that make a task worth while
+STRIP_CELLS = 64_000_000  # cells of the matrix of terms that a worker counts at a time
+HELD_TERMS = 10_000_000  # terms of records that a worker holds before it counts them strip by strip
+HELD_RECORDS = 500_000  # records after which a worker gives its counts, which are exact up to 2 ** 24
 DIMENSIONS = 96
 SPECIFIC = 0.5  # divergence of a term's company from everybody's, from which on it counts
 LEAF_RADIUS2 = 0.03
 LEAVES = 1500
+POINTS = 10_000  # wordings that go into one tree
 BRANCHING = 32
 CUT_DISTANCE2 = 0.25  # squared distance of centroids at which agglomeration stops
 FAR2 = 0.6  # squared distance from its centroid at which a record belongs to no group
-#: A group is a recurring idea if it comes in at least so many effective wordings per member, up to WORDING_SIZE members.
-WORDINGS_PER_MEMBER, WORDING_SIZE = 0.5, 25
+#: A group is a recurring idea if it comes in at least so many effective wordings per distinct text, up to WORDING_SIZE texts.
+WORDINGS_PER_TEXT, WORDING_SIZE = 0.5, 25
 TYPICAL = 5
 BLOCK = 100
 
@@ -91,87 +95,144 @@ def vocabulary(described: DataFrame) -> list[str]:
 
 
 class Sparse:
-    """A symmetric matrix by its cells that are not zero, in order of rows."""
+    """A symmetric matrix by its cells on and above the diagonal that are not zero, in order of rows."""
 
     def __init__(self, size: int, row: np.ndarray, col: np.ndarray, value: np.ndarray):
-        self.size, self.row, self.col, self.value = size, row, col, value
-        self.first = np.searchsorted(row, np.arange(0, size + BLOCK, BLOCK))
+        self.size, self.col, self.value = size, col.astype("int32"), value
+        self.first = np.searchsorted(row, np.arange(size + 1))
 
     def __len__(self) -> int:
         return self.size
 
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, row, column, value) of ``BLOCK`` rows at a time."""
+        for lo in range(0, self.size, BLOCK):
+            hi = min(lo + BLOCK, self.size)
+            a, b = self.first[lo], self.first[hi]
+            yield lo, hi, np.repeat(np.arange(lo, hi), np.diff(self.first[lo : hi + 1])), self.col[a:b], self.value[a:b]
+
     def __matmul__(self, q: np.ndarray) -> np.ndarray:
         out = np.zeros((self.size, q.shape[1]))
-        for b in range(0, self.size, BLOCK):  # a block of rows is filled in at a time
-            lo, hi = self.first[b // BLOCK], self.first[b // BLOCK + 1]
-            m = np.zeros((min(BLOCK, self.size - b), self.size))
-            m[self.row[lo:hi] - b, self.col[lo:hi]] = self.value[lo:hi]
-            out[b : b + BLOCK] = m @ q
+        for lo, hi, row, col, value in self.parts():  # a block of rows is filled in at a time
+            m = np.zeros((hi - lo, self.size - lo))
+            m[row - lo, col - lo] = value
+            out[lo:hi] += m @ q[lo:]
+            m[np.arange(hi - lo), np.arange(hi - lo)] = 0  # the diagonal counts once
+            out[lo:] += m.T @ q[lo:hi]
         return out
 
-    def sums(self) -> np.ndarray:
-        return np.bincount(self.row, self.value, self.size)
+    def sums(self, diagonal: bool = True) -> np.ndarray:
+        out = np.zeros(self.size)
+        for lo, hi, row, col, value in self.parts():
+            v = value if diagonal else np.where(row == col, 0, value)
+            out[lo:hi] += np.bincount(row - lo, v, hi - lo)
+            out += np.bincount(col, np.where(row == col, 0, value), self.size)
+        return out
 
 
-def company(described: DataFrame, vocab: list[str]) -> Sparse:
-    """How often two terms stand in different descriptions of one record: a matrix of len(vocab) squared, summed in two steps."""
-    shared = described.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
-    size = len(vocab)
-    strip = max(1, STRIP_CELLS // max(1, size) // BLOCK) * BLOCK
-
-    def pack(block: int, at: np.ndarray, n: np.ndarray) -> dict:
-        return {"block": block, "at": zlib.compress(at.astype("int64").tobytes(), 1), "n": zlib.compress(n.astype("float64").tobytes(), 1)}
-
-    def unpack(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(zlib.decompress(at), dtype="int64"), np.frombuffer(zlib.decompress(n), dtype="float64")
-
-    def blocks(held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]) -> Iterator[pd.DataFrame]:
-        for lo in range(0, size, strip):
-            m = np.zeros((min(strip, size - lo), size), dtype="float32")
-            for at, n, sets in held:
-                a, b = np.searchsorted(at, (lo, lo + strip))
-                if a == b:
-                    continue
-                m[np.ix_(at[a:b] - lo, at)] += np.outer(n[a:b], n)
-                for s in sets:
-                    a, b = np.searchsorted(s, (lo, lo + strip))
-                    m[np.ix_(s[a:b] - lo, s)] -= 1
+@lru_cache(1024)
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
+
+
+def _pack(block: int, at: np.ndarray, n: np.ndarray) -> dict:
+    return {"block": block, "at": zlib.compress(at.astype("int64").tobytes(), 1), "n": zlib.compress(n.astype("float64").tobytes(), 1)}
+
+
+def _unpack(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(zlib.decompress(at), dtype="int64"), np.frombuffer(zlib.decompress(n), dtype="float64")
+
+
+class Company:
+    """Counts of pairs of terms that stand in different descriptions of one record, by strips of rows that fit in memory."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.strip = max(1, STRIP_CELLS // max(1, size) // BLOCK) * BLOCK
+        self.one = self.strip >= size
+        self.m = np.zeros((size, size), dtype="float32") if self.one else None
+        self.held: list[list[np.ndarray]] = []
+        self.records = self.terms = 0
+
+    def add(self, sets: list[np.ndarray]) -> bool:
+        """Takes the terms of each description of a record; true if it is time to ``flush``."""
+        self.records += 1
+        if self.one:
+            self._count(self.m, 0, sets)
+            return self.records >= HELD_RECORDS
+        self.held.append(sets)
+        self.terms += sum(map(len, sets))
+        return self.terms >= HELD_TERMS
+
+    def _count(self, m: np.ndarray, lo: int, sets: list[np.ndarray]) -> None:
+        at, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        a, b = np.searchsorted(at, (lo, lo + len(m)))
+        if a == b:
+            return
+        which = np.zeros((len(sets), len(at)), dtype="float32")
+        which[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1
+        i, j = _upper(len(at))
+        if b - a < len(at):
+            inside = (i >= a) & (i < b)
+            i, j = i[inside], j[inside]
+        v = (np.multiply.outer(n, n).astype("float32") - which.T @ which)[i, j]
+        i, j, v = i[v != 0], j[v != 0], v[v != 0]
+        m.reshape(-1)[(at[i] - lo) * self.size + at[j]] += v
+
+    def flush(self) -> Iterator[dict]:
+        for lo in range(0, self.size, self.strip) if self.records else ():
+            m = self.m
+            if not self.one:
+                m = np.zeros((min(self.strip, self.size - lo), self.size), dtype="float32")
+                for sets in self.held:
+                    self._count(m, lo, sets)
             for b in range(0, len(m), BLOCK):
-                flat = m[b : b + BLOCK].ravel()
+                flat = m[b : b + BLOCK].reshape(-1)
                 at = np.nonzero(flat)[0]
                 if len(at):
-                    yield pd.DataFrame([pack((lo + b) // BLOCK, at, flat[at])])
+                    yield _pack((lo + b) // BLOCK, at, flat[at])
+        if self.one:
+            self.m[:] = 0
+        self.held, self.records, self.terms = [], 0, 0
+
+
+def company(described: DataFrame, vocab: list[str]) -> Sparse:
+    """How often two terms stand in different descriptions of one record: a matrix of len(vocab) squared.
+
+    A task counts at least ``COUNTED`` records, and at most ``COUNTING`` tasks count, each all that it reads, and give the cells that are not zero, packed by ``BLOCK`` rows; these are
+    summed eight to one, so that no task holds more than eight packed blocks, whatever the number of tasks.
+    """
+    shared = described.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
+    size = len(vocab)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        held, terms_held = [], 0
+        index, sums = shared.value, Company(size)
         for pdf in batches:
             for texts in pdf.texts:
-                sets = [np.array(sorted({i for t in terms(x) if (i := index.get(t)) is not None}), dtype="int32") for x in texts]
+                sets = [np.array(sorted({i for t in terms(x) if (i := index.get(t)) is not None}), dtype="int64") for x in texts]
                 sets = [s for s in sets if len(s)]
-                if len(sets) < 2:
-                    continue
-                at, n = np.unique(np.concatenate(sets), return_counts=True)
-                held.append((at, n.astype("float32"), sets))
-                terms_held += 2 * len(at) + sum(map(len, sets))
-                if terms_held > HELD_TERMS:
-                    yield from blocks(held)
-                    held, terms_held = [], 0
-        if held:
-            yield from blocks(held)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+                if len(sets) > 1 and sums.add(sets):
+                    for row in sums.flush():
+                        yield pd.DataFrame([row])
+        for row in sums.flush():
+            yield pd.DataFrame([row])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK * size)
         for x, y in zip(pdf["at"], pdf["n"]):
-            at, n = unpack(x, y)
+            at, n = _unpack(x, y)
             total[at] += n
         at = np.nonzero(total)[0]
-        return pd.DataFrame([pack(int(pdf.block.iloc[0]), at, total[at])])
+        return pd.DataFrame([_pack(int(key[0]), at, total[at]) | {"part": int(key[1])}])
 
-    kind = "block int, at binary, n binary"
-    part = described.mapInPandas(count, kind).withColumn("salt", F.spark_partition_id() % 16)
-    once = part.groupBy("block", "salt").applyInPandas(lambda key, pdf: add(pdf), kind)
-    got = [(r.block, *unpack(r["at"], r["n"])) for r in sorted(once.groupBy("block").applyInPandas(add, kind).collect(), key=lambda r: r.block)]
+    parts = min(COUNTING, max(1, -(-described.count() // COUNTED)))
+    level = described.coalesce(parts).mapInPandas(count, "block int, at binary, n binary").withColumn("part", F.spark_partition_id())
+    while True:
+        parts = -(-parts // 8)
+        level = level.groupBy("block", (F.col("part") % parts).cast("int").alias("part")).applyInPandas(add, "block int, at binary, n binary, part int")
+        if parts == 1:
+            break
+    got = [(r.block, *_unpack(r["at"], r["n"])) for r in sorted(level.select("block", "at", "n").collect(), key=lambda r: r.block)]
     if not got:
         return Sparse(size, np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0))
     row = np.concatenate([(b * BLOCK + at // size).astype("int32") for b, at, _ in got])
@@ -193,22 +254,29 @@ def leading(m: np.ndarray | Sparse, d: int, more: int = 24, steps: int = 14) ->
 def space_of(vocab: list[str], c: Sparse | None) -> Space:
     if not vocab:
         return Space({}, np.zeros((0, 1)), np.zeros(0))
-    full = c.sums()
-    other = c.row != c.col
-    row, col, n = c.row[other], c.col[other], c.value[other]
-    rows = np.bincount(row, n, len(vocab))
-    overall = rows / max(rows.sum(), 1.0)
-    p = n / np.maximum(rows, 1)[row]
-    kl = np.bincount(row, p * np.log(p / np.maximum(overall, 1e-12)[col]), len(vocab))
+    full, rows = c.sums(), c.sums(diagonal=False)
+    overall = np.maximum(rows / max(rows.sum(), 1.0), 1e-12)
+    kl = np.zeros(len(vocab))
+    for lo, hi, row, col, n in c.parts():
+        other = row != col
+        row, col, n = row[other], col[other], n[other]
+        p, back = n / np.maximum(rows, 1)[row], n / np.maximum(rows, 1)[col]
+        kl[lo:hi] += np.bincount(row - lo, p * np.log(p / overall[col]), hi - lo)
+        kl += np.bincount(col, back * np.log(back / overall[row]), len(vocab))
     weight = np.clip(kl - SPECIFIC, 0, 1.5)
     keep = np.nonzero(weight > 0)[0]
     if not len(keep):
         return Space({}, np.zeros((0, 1)), np.zeros(0))
     place = np.full(len(vocab), -1, dtype="int32")
     place[keep] = np.arange(len(keep))
-    pmi = np.log(np.maximum(c.value * max(full.sum(), 1.0) / np.maximum(full, 1e-9)[c.row] / np.maximum(full, 1e-9)[c.col], 1.0))
-    both = (pmi > 0) & (place[c.row] >= 0) & (place[c.col] >= 0)
-    values, vectors = leading(Sparse(len(keep), place[c.row[both]], place[c.col[both]], pmi[both]), min(DIMENSIONS, len(keep)))
+    known, total = np.maximum(full, 1e-9), max(full.sum(), 1.0)
+    found = []
+    for _, _, row, col, n in c.parts():
+        pmi = np.log(np.maximum(n * total / known[row] / known[col], 1.0))
+        both = (pmi > 0) & (place[row] >= 0) & (place[col] >= 0)
+        found.append((place[row[both]], place[col[both]], pmi[both]))
+    pmi = Sparse(len(keep), *(np.concatenate(x) for x in zip(*found)))
+    values, vectors = leading(pmi, min(DIMENSIONS, len(keep)))
     e = vectors * np.sqrt(np.maximum(values, 0))
     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
     return Space({vocab[i]: k for k, i in enumerate(keep)}, (e * weight[keep][:, None]).astype("float32"), weight[keep])
@@ -324,7 +392,7 @@ def _entry_rows(part: int, e: list[tuple[float, np.ndarray, float]]) -> pd.DataF
 
 
 def leaf_summaries(points: DataFrame) -> list[tuple[float, np.ndarray, float]]:
-    """Leaf entries of all points (v array<float>, n long): a tree per partition, then trees of trees, eight to one."""
+    """Leaf entries of all points (wording, v array<float>, n long): a tree per ``POINTS`` of them, then trees of trees, eight to one."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, pid = CFTree(), None
@@ -341,8 +409,9 @@ def leaf_summaries(points: DataFrame) -> list[tuple[float, np.ndarray, float]]:
             tree.add(n, np.asarray(ls), ss)
         return _entry_rows(int(key[0]), tree.entries())
 
-    parts = max(1, points.rdd.getNumPartitions())
-    level = points.withColumn("part", F.spark_partition_id().cast("long")).select("part", "v", "n").mapInPandas(build, _CF)
+    parts = max(1, -(-points.count() // POINTS))
+    placed = points.repartition(parts, "wording").sortWithinPartitions("wording")
+    level = placed.withColumn("part", F.spark_partition_id().cast("long")).select("part", "v", "n").mapInPandas(build, _CF)
     while parts > 1:
         parts = -(-parts // 8)
         level = level.groupBy((F.col("part") % parts).alias("part")).applyInPandas(merge, _CF)
@@ -380,7 +449,7 @@ def ward(entries: list[tuple[float, np.ndarray, float]]) -> np.ndarray:
 
 
 def assign(records: DataFrame, described: DataFrame) -> DataFrame:
-    """(record_id, cluster_id, distance, wording, recurring) of all ``records`` (record_id, text).
+    """(record_id, cluster_id, distance, wording, digest, recurring) of all ``records`` (record_id, text).
 
     ``described`` (record_id, texts) holds several descriptions of each of them. cluster_id is null for a record
     that no group is near: null, empty or blank texts and texts of no telling term. Repeated rows of one id give one row. With no
@@ -396,11 +465,11 @@ def assign(records: DataFrame, described: DataFrame) -> DataFrame:
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [given.value.embed(t) for t in pdf.text]
-            yield pd.DataFrame({"record_id": pdf.record_id, "v": [None if g is None else g[0].astype("float32") for g in got], "wording": [None if g is None else g[1] for g in got]})
+            yield pd.DataFrame({"record_id": pdf.record_id, "digest": pdf.digest, "v": [None if g is None else g[0].astype("float32") for g in got], "wording": [None if g is None else g[1] for g in got]})
 
-    embedded = stage(once.mapInPandas(embed, "record_id long, v array<float>, wording string"), "vectors")
+    embedded = stage(once.select("record_id", "text", F.xxhash64("text").alias("digest")).mapInPandas(embed, "record_id long, digest long, v array<float>, wording string"), "vectors")
     # records of one wording are one point
-    points = embedded.where("wording IS NOT NULL").groupBy("wording").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).sortWithinPartitions("wording")
+    points = stage(embedded.where("wording IS NOT NULL").groupBy("wording").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "points")
     centroids = spark.sparkContext.broadcast(ward(leaf_summaries(points)))
 
     @F.pandas_udf("cluster_id int, distance double")
@@ -416,16 +485,22 @@ def assign(records: DataFrame, described: DataFrame) -> DataFrame:
             ids[known], dist[known] = np.where(at <= FAR2, best, -1), at
         return pd.DataFrame({"cluster_id": pd.Series(ids).where(ids >= 0).astype("Int32"), "distance": np.where(ids >= 0, dist, np.nan)})
 
-    placed = stage(embedded.select("record_id", "wording", nearest("v").alias("c")).select("record_id", "wording", "c.cluster_id", F.nanvl("c.distance", F.lit(None).cast("double")).alias("distance")), "assigned")
-    return placed.join(F.broadcast(wordings(placed).select("cluster_id", "recurring")), "cluster_id", "left").select("record_id", "cluster_id", "distance", "wording", F.coalesce("recurring", F.lit(False)).alias("recurring"))
+    placed = stage(embedded.select("record_id", "digest", "wording", nearest("v").alias("c")).select("record_id", "digest", "wording", "c.cluster_id", F.nanvl("c.distance", F.lit(None).cast("double")).alias("distance")), "assigned")
+    return placed.join(F.broadcast(wordings(placed).select("cluster_id", "recurring")), "cluster_id", "left").select("record_id", "cluster_id", "distance", "wording", "digest", F.coalesce("recurring", F.lit(False)).alias("recurring"))
 
 
 def wordings(placed: DataFrame) -> DataFrame:
-    """(cluster_id, size, n_wordings, recurring): at most ``LEAVES`` rows. n_wordings is the exponential of the entropy of a group's wordings."""
-    by_wording = placed.where("cluster_id IS NOT NULL").groupBy("cluster_id", "wording").agg(F.count(F.lit(1)).alias("n"))
-    sums = by_wording.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    effective = F.exp(F.log("size") - F.col("nlogn") / F.col("size"))
-    return sums.select("cluster_id", "size", F.round(effective, 4).alias("n_wordings"), ((effective >= WORDINGS_PER_MEMBER * F.least("size", F.lit(WORDING_SIZE))) & (F.col("size") > 1)).alias("recurring"))
+    """(cluster_id, size, n_wordings, recurring): at most ``LEAVES`` rows.
+
+    n_wordings is the exponential of the entropy of the wordings of a group's texts. Each text counts once, however many records share
+    it, so that copies of one text cannot make a recurring idea look like a frame that is filled in.
+    """
+    by_text = placed.where("cluster_id IS NOT NULL").groupBy("cluster_id", "wording", "digest").agg(F.count(F.lit(1)).alias("members"))
+    by_wording = by_text.groupBy("cluster_id", "wording").agg(F.count(F.lit(1)).alias("n"), F.sum("members").alias("members"))
+    sums = by_wording.groupBy("cluster_id").agg(F.sum("members").alias("size"), F.sum("n").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    effective = F.exp(F.log("texts") - F.col("nlogn") / F.col("texts"))
+    enough = WORDINGS_PER_TEXT * F.least("texts", F.lit(WORDING_SIZE))
+    return sums.select("cluster_id", "size", F.round(effective, 4).alias("n_wordings"), ((effective >= enough) & (F.col("texts") > 1)).alias("recurring"))
 
 
 def cluster_table(placed: DataFrame) -> DataFrame:

@@ -114,3 +114,31 @@ def test_company_in_strips_is_that_of_all_pairs(spark, monkeypatch):
                             want[vocab.index(x), vocab.index(y)] += 1
     c = s.company(spark.createDataFrame([(x,) for x in rows], "texts array<string>"), vocab)
     assert np.array_equal(c @ np.eye(330), want)
+
+
+def test_company_is_the_same_in_one_strip_and_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(s, "COUNTED", 7)
+    monkeypatch.setattr(s, "HELD_RECORDS", 5)
+    r = random.Random(5)
+    vocab = ["".join(chr(97 + k // 26**j % 26) for j in range(2)) for k in range(230)]
+    rows = [[" ".join(r.sample(vocab, 9)) for _ in range(r.randrange(1, 4))] for _ in range(150)]
+    want = np.zeros((230, 230))
+    for texts in rows:
+        n = np.array([[float(v in t.split()) for v in vocab] for t in texts])
+        want += np.outer(n.sum(axis=0), n.sum(axis=0)) - n.T @ n
+    c = s.company(spark.createDataFrame([(x,) for x in rows], "texts array<string>").repartition(20), vocab)
+    assert np.array_equal(c @ np.eye(230), want)
+    assert np.array_equal(c.sums(), want.sum(axis=1)) and np.array_equal(c.sums(diagonal=False), (want - np.diag(np.diag(want))).sum(axis=1))
+
+
+def test_copies_of_one_text_do_not_make_an_idea_boilerplate(spark):
+    rows, truth = commits(400, 3)
+    first = next(i for i, idea in truth.items() if idea == 0)
+    text = rows[first][1]
+    rows += [(10_000 + k, text, [text], 0) for k in range(800)]
+    placed = s.assign(*frames(spark, rows))
+    got = {r.record_id: r for r in placed.collect()}
+    mine = [got[i] for i, idea in truth.items() if idea == 0]
+    assert np.mean([r.recurring and r.cluster_id == got[first].cluster_id for r in mine]) > 0.9
+    assert all(got[10_000 + k].recurring for k in range(800)) and not any(got[i].recurring for i in range(400, 440))
+    assert max(r["size"] for r in s.cluster_table(placed).collect()) >= 800
