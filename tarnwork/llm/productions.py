@@ -11,7 +11,14 @@ import re
 from functools import lru_cache
 
 _ROUND = re.compile(r"\(([^(){}\[\]uvpP]*)\)|\[([^(){}\[\]uvpP]*)\]|u([^(){}\[\]uvpP]*)v|\{([^(){}\[\]uvpP]*)\}|p([^(){}\[\]uvpP]*)P")
-MEMORY = 1 << 17
+MEMORY, LONG = 1 << 17, 400  # reductions that are remembered, and the longest text of one
+ROUNDS = 64  # of reductions of all innermost groups at once; deeper nests go bracket by bracket
+
+
+def _remembered(f):
+    """``f`` with its results for short texts remembered."""
+    known = lru_cache(MEMORY)(f)
+    return lambda *text: known(*text) if len(text[-1]) <= LONG else f(*text)
 
 
 def _list_of(one: str) -> str:
@@ -57,8 +64,8 @@ class _C:
         ktype = rf"(?:M)*(?:[qT])*[Kk]i?(?:q|:[^;b]*)?[bU](?:{_C_DECLR}(?:,{_C_DECLR})*)?;"
         self.top = full(rf"(?:{func};?|{ktype}|(?:M)*{_C_DECL};|T[^;{{}}b]*;|w[iV]*b|Ts?b|;|qs[b]|Q:)+")
         self.klass = full(rf"(?:{func};?|{ktype}|(?:M)*{_C_DECL};|T[^;{{}}b]*;|Q:|;)*")
-        self.group = lru_cache(MEMORY)(self._group)
-        self.block = lru_cache(MEMORY)(self._block)
+        self.group = _remembered(self._group)
+        self.block = _remembered(self._block)
 
     def _group(self, kind: str, inner: str) -> str:
         """The symbol of a bracketed group without brackets in it."""
@@ -146,10 +153,17 @@ class _C:
         return s
 
 
+_PARTNER = dict(zip(")]}vP", "([{up"))
+
+
 def reduce_groups(codes: str, pre, group) -> str | None:
-    """Replaces groups, innermost first, until none is left; None if brackets do not pair."""
+    """Replaces groups, innermost first, until none is left; None if brackets do not pair or a group is not valid.
+
+    All innermost groups go in one round, ``ROUNDS`` times; what is nested deeper than that goes from left to right over a stack, so
+    that the depth costs nothing.
+    """
     s = codes
-    for _ in range(400):
+    for _ in range(ROUNDS):
         s = pre(s)
 
         def put(m: re.Match) -> str:
@@ -160,9 +174,26 @@ def reduce_groups(codes: str, pre, group) -> str | None:
         if "#" in t:
             return None
         if t == s:
-            break
+            return None if re.search(r"[(){}\[\]uvpP]", s) else s
         s = t
-    return None if re.search(r"[(){}\[\]uvpP]", s) else s
+    stack, parts = [], []
+    for m in re.finditer(r"[^(){}\[\]uvpP]+|.", s):
+        t = m.group()
+        if t in _PARTNER:
+            if not stack or stack[-1][0] != _PARTNER[t]:
+                return None
+            opening, above = stack.pop()
+            got = group(opening, pre(opening + "".join(parts))[1:])
+            if got == "#":
+                return None
+            parts = above
+            parts.append(got)
+        elif t in _PARTNER.values():
+            stack.append((t, parts))
+            parts = []
+        else:
+            parts.append(t)
+    return None if stack else pre("".join(parts))
 
 
 @lru_cache(MEMORY)
@@ -234,7 +265,7 @@ class _JavaScript:
         )
         self.letter = {"if": "I", "for": "F", "while": "W", "switch": "S", "do": "D", "else": "E", "try": "Y", "catch": "H", "finally": "y", "label": "L", "block": "b", "simple": "k"}
         self.klass = full(rf"k(?:(?:g|\*|i)*{key}[AZ1]b|i?(?:i|J)(?:={_J_EXPR})?;|ib|;)*")
-        self.group = lru_cache(MEMORY)(self._group)
+        self.group = _remembered(self._group)
 
     def pre(self, s: str) -> str:
         # functions and arrows whose parts are reduced are literals
@@ -336,8 +367,8 @@ class _Python:
             rf"|(?P<with>g?w{with_}(?:,{with_})*:)|(?P<def>g?fi[Z1AJ]*(?:A{expr}|3{expr})?:|Ki[AZ]?:)|(?P<match>i{many}:))"
         )
         self.letter = {"if": "I", "elif": "L", "else": "E", "for": "F", "while": "W", "try": "Y", "except": "H", "finally": "y", "with": "w", "def": "f", "match": "w"}
-        self.line = lru_cache(MEMORY)(self._line)
-        self.group = lru_cache(MEMORY)(self._group)
+        self.line = _remembered(self._line)
+        self.group = _remembered(self._group)
 
     def _group(self, kind: str, inner: str) -> str:
         if kind == "(":
@@ -353,7 +384,7 @@ class _Python:
     def _line(self, line: str) -> str:
         """The kind of a logical line: k simple, a letter for a clause with a block to come, lower-case o for one on its line, # invalid."""
         s = line
-        for _ in range(200):
+        for _ in range(200):  # Python itself takes no deeper nest
             t = re.sub(r"\(([^()\[\]uv]*)\)|\[([^()\[\]uv]*)\]|u([^()\[\]uv]*)v", lambda m: self.group(m.group()[0], m.group()[1:-1]), s)
             if "#" in t:
                 return "#"

@@ -20,6 +20,7 @@ from tarnwork.llm import grammars, lexing, productions
 from tarnwork.staging import stage
 
 SALTS = 16
+BROADCAST_KEYS = 500_000  # keys of faulty code strings (some 50 bytes each) that are broadcast; more are met by shuffle
 _OPEN, _CLOSE = "([{u", ")]}v"
 
 
@@ -86,20 +87,30 @@ def permissible_pairs(spark) -> DataFrame:
     return spark.createDataFrame(rows, "language string, pair string")
 
 
-def badly_nested(brackets: DataFrame) -> DataFrame:
-    """The distinct bracket strings of ``brackets`` (brackets) in which brackets do not pair."""
-    once = brackets.select("brackets").where("brackets <> ''").distinct()
-    rows = once.select("brackets", F.posexplode(F.split("brackets", "")).alias("pos", "c")).where("c <> ''")
+def text_key(text: Column) -> Column:
+    """struct of two digests by which equal texts meet, so that no row needs to carry its whole text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("b"))
+
+
+def unpaired_keys(strings: DataFrame) -> DataFrame:
+    """The ``key`` of the rows of ``strings`` (key, brackets), one a key, in which brackets do not pair. A row of brackets has a key, not a text."""
+    rows = strings.where("brackets <> ''").select("key", F.posexplode(F.split("brackets", "")).alias("pos", "c")).where("c <> ''")
     opening = F.instr(F.lit(_OPEN), F.col("c")) > 0
-    by_pos = Window.partitionBy("brackets").orderBy("pos")
+    by_pos = Window.partitionBy("key").orderBy("pos")
     depth = F.sum(F.when(opening, 1).otherwise(-1)).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
     # an opening bracket and the one that closes it have the same level
     level = F.when(opening, F.col("depth")).otherwise(F.col("depth") + 1)
     rows = rows.withColumn("opening", opening).withColumn("depth", depth).withColumn("level", level)
-    before = F.lag("c").over(Window.partitionBy("brackets", "level").orderBy("pos"))
+    before = F.lag("c").over(Window.partitionBy("key", "level").orderBy("pos"))
     partner = F.translate("c", _CLOSE, _OPEN)
     fault = (F.col("depth") < 0) | (~F.col("opening") & F.coalesce(before != partner, F.lit(True)))
-    return rows.withColumn("fault", fault).groupBy("brackets").agg(F.max("fault").alias("fault"), F.max_by("depth", "pos").alias("end")).where("fault OR end <> 0").select("brackets")
+    return rows.withColumn("fault", fault).groupBy("key").agg(F.max("fault").alias("fault"), F.max_by("depth", "pos").alias("end")).where("fault OR end <> 0").select("key")
+
+
+def badly_nested(brackets: DataFrame) -> DataFrame:
+    """The distinct bracket strings of ``brackets`` (brackets) in which brackets do not pair."""
+    once = brackets.select("brackets").distinct().withColumn("key", text_key(F.col("brackets")))
+    return once.join(unpaired_keys(once), "key", "left_semi").select("brackets")
 
 
 def invalid_files(files: DataFrame, *, file_id: str, path: str, content: str) -> DataFrame:
@@ -109,21 +120,28 @@ def invalid_files(files: DataFrame, *, file_id: str, path: str, content: str) ->
     different contents any invalid one counts. An empty table gives an empty result; extra columns are ignored.
     """
     spark = files.sparkSession
-    codes = stage(lexed(files, file_id, path, content), "token_codes")
-    pairs = codes.select("file_id", "language", F.explode("pairs").alias("pair"))
-    odd = pairs.join(F.broadcast(permissible_pairs(spark)), ["language", "pair"], "left_anti").select("file_id", "language").distinct()
-    # one bracket string may be that of a third of all files: it is met under salts
-    unpaired = badly_nested(codes).select("brackets", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = codes.select("file_id", "language", "brackets", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    nested = salted.join(unpaired, ["brackets", "salt"], "left_semi").select("file_id", "language").distinct()
+    codes = stage(lexed(files, file_id, path, content).withColumns({"key": text_key(F.concat_ws(" ", "language", "codes")), "bracket_key": text_key(F.col("brackets"))}), "token_codes")
+    pairs = codes.select("key", "language", F.explode("pairs").alias("pair"))
+    strange = pairs.join(F.broadcast(permissible_pairs(spark)), ["language", "pair"], "left_anti").select("key").distinct()
+    # equal bracket strings are looked at once
+    unpaired = stage(unpaired_keys(codes.groupBy(F.col("bracket_key").alias("key")).agg(F.first("brackets").alias("brackets"))), "unpaired_brackets")
+    nested = codes.select("key", "bracket_key").join(unpaired.withColumnRenamed("key", "bracket_key"), "bracket_key", "left_semi").select("key")
+    flagged = stage(strange.unionByName(nested).distinct(), "flagged_codes")
 
     @F.pandas_udf("boolean")
     def holds(language: pd.Series, codes: pd.Series) -> pd.Series:
         return pd.Series([productions.checker(lang).valid(c) for lang, c in zip(language, codes)])
 
-    left = codes.select("file_id", "language", "codes")
-    unreduced = left.where(~holds("language", "codes")).select("file_id", "language")
-    return odd.unionByName(nested).unionByName(unreduced).distinct()
+    # what is flagged need not be reduced; keys that are known by now are broadcast while they are few
+    unreduced = codes.join(flagged, "key", "left_anti").where(~holds("language", "codes")).select("key").distinct()
+    bad = stage(flagged.unionByName(unreduced), "bad_codes")
+    mine = codes.select("file_id", "language", "key")
+    if bad.count() <= BROADCAST_KEYS:
+        return mine.join(F.broadcast(bad), "key", "left_semi").select("file_id", "language").distinct()
+    # one code string may be that of a third of all files: it is met under salts
+    salted = mine.withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int"))
+    met = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return salted.join(met, ["key", "salt"], "left_semi").select("file_id", "language").distinct()
 
 
 def invalid_rates(files: DataFrame, invalid: DataFrame, *, file_id: str, path: str, content: str, repository: str) -> DataFrame:

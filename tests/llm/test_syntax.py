@@ -130,3 +130,23 @@ def test_every_branch_and_mix_of_conditions_is_checked(language):
     assert all(any(faults(t, language)) for t in bad)
     assert not any(any(faults(t, language)) for t in good)
     assert lexing.lex("int a;\n#else\nint b;\n#endif", language) == ["X"]
+
+
+def test_deep_nests_and_many_brackets(spark):
+    deep = "int f(int a) { return " + "(" * 450 + "a" + ")" * 450 + "; }"
+    assert productions.checker("C").valid(lexing.lex(deep, "C")[0])
+    assert not productions.checker("C").valid(lexing.lex(deep.replace("))))", ")))", 1), "C")[0])
+    assert not productions.checker("C").valid(lexing.lex(deep.replace("a))", "a+))", 1), "C")[0])
+    many = "int f(void) {\n" + "g(a[1]);\n" * 50_000 + "}\n"
+    df = spark.createDataFrame([(1, "x.c", many), (2, "x.c", many[:-2]), (3, "x.c", deep), (4, "x.js", "function f() { return " + "(" * 3000 + "a" + ")" * 3000 + "; }")], "file_id long, file_path string, content string")
+    got = {r.file_id for r in syntax.invalid_files(df, file_id="file_id", path="file_path", content="content").collect()}
+    assert got == {2}
+
+
+def test_many_faulty_codes_are_met_by_shuffle(spark, monkeypatch):
+    rows = [(k, "x.c", "int f(void) { return (; }" if k % 3 else "int f(void) { return 1; }") for k in range(60)] + [(99, "x.c", "int f( {"), (99, "x.c", None)]
+    df = spark.createDataFrame(rows, "file_id long, file_path string, content string")
+    kw = dict(file_id="file_id", path="file_path", content="content")
+    few = {r.file_id for r in syntax.invalid_files(df, **kw).collect()}
+    monkeypatch.setattr(syntax, "BROADCAST_KEYS", 0)
+    assert {r.file_id for r in syntax.invalid_files(df, **kw).collect()} == few == {k for k in range(60) if k % 3} | {99}
