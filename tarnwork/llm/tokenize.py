@@ -12,11 +12,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.staging import stage
+
 #: Where the vocabulary lies unless told otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -25,6 +28,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Words whose ids a worker remembers between batches; beyond that it forgets, results stay the same.
 REMEMBERED_WORDS = 500_000
+#: Text that one index is built over: a partition, or so many bytes of a larger one.
+HELD_BYTES = 32 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -114,15 +119,21 @@ class PairIndexEncoder:
             out[w] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def learn(self, texts: Iterable[str | None]) -> None:
+        """Encodes the words of all ``texts`` that are not known yet, over one index."""
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {}
+        new = {w for t in texts if t for w in self.words(t)} - self.known.keys()
+        if new:
+            self.known.update(self.encode_words(new))
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.words(t) if t else [] for t in texts]
         known = self.known
         new = {w for ws in split for w in ws if w not in known}
         if new:
             known.update(self.encode_words(new))
-        return [[i for w in ws for i in known[w]] for ws in split]
+        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
 
 
 def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -138,13 +149,29 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PairIndexEncoder(*shared.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = pa.array(encoder.encode(texts), type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
 
-    once = docs.select(id_col, text_col).withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"]).select(id_col, text_col)
-    return once.mapInArrow(encode, schema)
+        def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [b.column(1).to_pylist() for b in held]
+            encoder.learn(t for part in texts for t in part)
+            for batch, part in zip(held, texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode(part), type=pa.list_(pa.int32()))], names=[id_col, "ids"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= HELD_BYTES:
+                yield from together(held)
+                held, size = [], 0
+        yield from together(held)
+
+    # only ids and digests are shuffled to find what was delivered twice; a text moves only if it was, or if so much was that it cannot be broadcast
+    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h"))
+    # (written first, so that its size is known when the join is planned)
+    twice = stage(given.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")), "delivered_twice")
+    same = F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2"))
+    once = given.join(twice, same, "left_anti").unionByName(given.join(twice, same, "left_semi").dropDuplicates(["_id", "_h"]))
+    return once.select(F.col("_id").alias(id_col), F.col("_t").alias(text_col)).mapInArrow(encode, schema)
 
 
 def decode_ids(ids: Iterable[int], path: str = VOCABULARY) -> str:
