@@ -8,11 +8,14 @@ reach the driver. Kinds of item (``origin``) have raters and a prior of their ow
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,19 +62,22 @@ def vote_patterns(votes: DataFrame, raters: DataFrame) -> DataFrame:
     return counts.groupBy("origin", "record_id").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("pattern"))
 
 
-def _flat(patterns: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, votes) of the entries of all patterns."""
-    size = np.fromiter((len(p) for p in patterns), dtype="int64", count=len(patterns))
-    row = np.repeat(np.arange(len(patterns)), size)
-    code = np.fromiter((e["code"] for p in patterns for e in p), dtype="int64", count=int(size.sum()))
-    n = np.fromiter((e["n"] for p in patterns for e in p), dtype="float64", count=int(size.sum()))
-    return row, code, n
+def _flat(patterns: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, votes) of the entries of all patterns, from the arrays they lie in."""
+    size = pc.fill_null(pc.list_value_length(patterns), 0).to_numpy(zero_copy_only=False).astype("int64")
+    entries = patterns.flatten()
+    return np.repeat(np.arange(len(patterns)), size), entries.field("code").to_numpy(zero_copy_only=False).astype("int64"), entries.field("n").to_numpy(zero_copy_only=False).astype("float64")
+
+
+def _by_origin(origin: np.ndarray, values: dict[str, float]) -> np.ndarray:
+    kind, names = pd.factorize(origin)
+    return np.array([values[o] for o in names], dtype="float64")[kind]
 
 
 def posterior(origin: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, raters: Raters) -> np.ndarray:
     say_false, say_true = raters.log_ratio()
     each = np.where(code % 2 == 1, say_true[code // 2], say_false[code // 2]) * n
-    prior = np.array([np.log(raters.prior[o]) - np.log1p(-raters.prior[o]) for o in origin])
+    prior = _logit(_by_origin(origin, raters.prior))
     return 1 / (1 + np.exp(-np.clip(prior + np.bincount(row, each, len(origin)), -500, 500)))
 
 
@@ -112,31 +118,32 @@ def _step(patterns: DataFrame, now: Raters, first: bool) -> tuple[Raters, float]
     size = len(now.competence)
     given = patterns.sparkSession.sparkContext.broadcast((now, first))
 
-    def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, start = given.value
         guesses, of_true = np.zeros(len(model.competence)), np.zeros(len(model.competence))
         t, x = model.competence, model.guess
         if_false = np.stack([np.log(t + (1 - t) * (1 - x)), np.log((1 - t) * x)], axis=1)  # of "false" and "true" votes
         true_items: dict[str, list[float]] = {}
         likelihood = 0.0
-        for pdf in batches:
-            row, code, n = _flat(pdf.pattern)
-            o, items = pdf.origin.to_numpy(), pdf["items"].to_numpy(dtype="float64")
+        for batch in batches:
+            row, code, n = _flat(batch.column(batch.schema.get_field_index("pattern")))
+            o, items = batch.column(batch.schema.get_field_index("origin")).to_numpy(zero_copy_only=False), batch.column(batch.schema.get_field_index("items")).to_numpy().astype("float64")
             q, g, gt = expectations(o, row, code, n, items, model, start)
             guesses += g
             of_true += gt
-            prior = np.array([model.prior[k] for k in o])
-            p = np.clip(posterior(o, row, code, n, model), 1e-300, 1 - 1e-12)
+            prior = _by_origin(o, model.prior)
+            p = np.clip(q if not start else posterior(o, row, code, n, model), 1e-300, 1 - 1e-12)
             likelihood += float((items * (np.log1p(-prior) + np.bincount(row, if_false[code // 2, code % 2] * n, len(o)) - np.log1p(-p))).sum())
-            for one in set(o):
+            kind, names = pd.factorize(o)
+            for k, one in enumerate(names):
                 was = true_items.setdefault(one, [0.0, 0.0])
-                was[0] += float((q * items)[o == one].sum())
-                was[1] += float(items[o == one].sum())
+                was[0] += float((q * items)[kind == k].sum())
+                was[1] += float(items[kind == k].sum())
         used = np.nonzero(guesses)[0]
         keys = [*(f"r{k}" for k in used), *(f"o{k}" for k in true_items), "l"]
-        yield pd.DataFrame({"key": keys, "a": [*guesses[used], *(v[0] for v in true_items.values()), likelihood], "b": [*of_true[used], *(v[1] for v in true_items.values()), 0.0]})
+        yield pa.RecordBatch.from_pydict({"key": keys, "a": [*guesses[used], *(v[0] for v in true_items.values()), likelihood], "b": [*of_true[used], *(v[1] for v in true_items.values()), 0.0]})
 
-    sums = patterns.mapInPandas(e_step, "key string, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    sums = patterns.mapInArrow(e_step, "key string, a double, b double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
     given.unpersist()
     guesses, of_true, prior, likelihood = np.zeros(size), np.zeros(size), dict(now.prior), 0.0
     for key, a, b in zip(sums.key, sums.a, sums.b):
@@ -176,6 +183,7 @@ def fit(patterns: DataFrame, raters: pd.DataFrame) -> Raters:
             return two
         length = min(max(np.linalg.norm(r) / max(np.linalg.norm(v), 1e-12), 1.0), 50.0)
         now = _model(x0 + 2 * length * r + length**2 * v, two)
+    warnings.warn(f"no convergence in {MAX_CYCLES} cycles: a rater's parameters still move by {sure:.1e}", stacklevel=2)
     return safe
 
 
@@ -206,16 +214,18 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, Raters]:
         model = fit(grouped, known)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(origin: pd.Series, pattern: pd.Series) -> pd.Series:
-        row, code, n = _flat(pattern)
-        return pd.Series(posterior(origin.to_numpy(), row, code, n, shared.value))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            origin, record, pattern = (batch.column(batch.schema.get_field_index(c)) for c in ("origin", "record_id", "pattern"))
+            row, code, n = _flat(pattern)
+            p = posterior(origin.to_numpy(zero_copy_only=False), row, code, n, shared.value)
+            total, true = np.bincount(row, n, len(p)), np.bincount(row, n * (code % 2), len(p))
+            yield pa.RecordBatch.from_arrays([origin, record, pa.array(p), pa.array(total.astype("int32")), pa.array(true.astype("int32"))], names=["origin", "record_id", "probability", "n_votes", "n_true"])
 
-    judged = patterns.withColumn("probability", probability("origin", "pattern"))
-    total = F.aggregate("pattern", F.lit(0), lambda s, e: s + e["n"])
-    true = F.aggregate("pattern", F.lit(0), lambda s, e: s + e["n"] * (e["code"] % 2).cast("int"))
+    judged = patterns.select("origin", "record_id", "pattern").mapInArrow(judge, "origin string, record_id long, probability double, n_votes int, n_true int")
+    total, true = F.col("n_votes"), F.col("n_true")
     items = judged.select(
-        "origin", "record_id", (F.col("probability") > 0.5).alias("consensus"), F.round("probability", 6).alias("probability"), total.alias("n_votes"),
+        "origin", "record_id", (F.col("probability") > 0.5).alias("consensus"), F.round("probability", 6).alias("probability"), "n_votes",
         F.round(F.when(F.col("probability") > 0.5, true).otherwise(total - true) / total, 6).alias("agreement"),
     )
     return items, model
