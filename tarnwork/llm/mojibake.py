@@ -38,6 +38,7 @@ MIN_SUPPORT = 2  # distinct aligned pairs for a route
 # Log odds for an inversion: text that reads as utf-8 under a single-byte codec is evidence by itself, one under a
 # multi-byte codec less so, and any bytes read under a single-byte codec.
 MARGIN = {"bytes as utf-8": 0.5, "characters as utf-8": 2.0, "other": 3.0}
+SALTS = 16
 DEEPEST = 3  # times a text may have been garbled
 ROUNDS = 3  # of the pair model
 
@@ -214,7 +215,10 @@ def learn_routes(words: DataFrame) -> list[tuple[str, str, int]]:
     """(written, read, support) of the routes that aligned twins show."""
     per_word = words.withColumn("key", twin_key(F.col("w"), F.col("stripped"))).where(F.length("key") >= 3).groupBy("key", "w").agg(F.count(F.lit(1)).alias("n"))
     top = per_word.groupBy("key").agg(F.max_by("w", F.struct("n", F.negate(F.length("w")), "w")).alias("clean"), F.max("n").alias("n_clean")).where("n_clean >= 3")
-    twins = per_word.join(top, "key").where("w <> clean").select("clean", "w").distinct()
+    # short words share one key with many others: it is met under salts
+    salted = per_word.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(SALTS)).cast("int"))
+    met = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    twins = salted.join(met, ["key", "salt"]).where("w <> clean").select("clean", "w").distinct()
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = [(e, d) for e in WRITTEN for d in READ if e != d]
@@ -305,9 +309,6 @@ def judge_words(words: DataFrame) -> DataFrame:
     return judged.where("route IS NOT NULL").select("w", "restored", "route")
 
 
-SALTS = 16
-
-
 def find_garbled(records: DataFrame, text: str) -> DataFrame:
     """(origin, record_id): records with at least one garbled stretch, once each.
 
