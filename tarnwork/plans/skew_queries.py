@@ -52,13 +52,13 @@ FROM g LEFT JOIN cs ON g.repository_name IS NOT DISTINCT FROM cs.repository_name
 def p2_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """modified_file consolidated; the rows read back from the new files, with a content digest."""
     dest = fresh_path(spark, "modified_file_compacted")
-    compact(table(spark, sf_dir, "modified_file"), dest, row_id="file_id", cluster_by=["repository_name", "hash", "kind"], content="content")
+    compact(table(spark, sf_dir, "modified_file"), dest, row_id="file_id", cluster_by=["repository_name", "hash", "kind"], content="content", first_by=["loaded_at"])
     back = spark.read.parquet(dest)
-    return back.select("file_id", "repository_name", "hash", "kind", "file_path", "n_bytes", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return back.select("file_id", "repository_name", "hash", "kind", "file_path", "n_bytes", "loaded_at", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 P2_SQL = """
-SELECT DISTINCT file_id, repository_name, hash, kind, file_path, n_bytes, md5(content) AS content_md5 FROM modified_file
+SELECT file_id, repository_name, hash, kind, file_path, n_bytes, min(loaded_at) AS loaded_at, md5(content) AS content_md5 FROM modified_file GROUP BY ALL
 """
 
 

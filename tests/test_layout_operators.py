@@ -88,3 +88,14 @@ def test_compaction_of_an_empty_table(spark):
     dest = fresh_path(spark, "compact-empty")
     assert compact(spark.createDataFrame([], SCHEMA), dest, row_id="file_id", cluster_by=["repo"], content="content")["rows"] == 0
     assert spark.read.parquet(dest).count() == 0
+
+
+def test_compaction_keeps_the_first_delivery(spark):
+    rows = [(1, "a", "one", 5, 0), (1, "a", "one", 3, 0), (1, "a", "one", 9, 0), (2, "a", "two", 4, 0), (2, "a", "other two", 4, 0), (3, "b", None, 2, 0), (3, "b", None, 1, 0)]
+    want = {(1, "one", 3), (2, "two", 4), (2, "other two", 4), (3, None, 1)}
+    for moved in (False, True):
+        given = [*rows, (1, "elsewhere", "one", 8, 0)] if moved else rows
+        dest = fresh_path(spark, "compact-first")
+        compact(spark.createDataFrame(given, SCHEMA).repartition(5), dest, row_id="file_id", cluster_by=["repo"], content="content", first_by=["__mark"], target_bytes=100)
+        back = [(r.file_id, r.content, r["__mark"]) for r in spark.read.parquet(dest).collect()]
+        assert len(back) == 4 and set(back) == want
