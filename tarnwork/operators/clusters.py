@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,5 +288,6 @@ def inertia(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(cluster, size, inertia): squared distances to the centroid, from sums alone: Σ|v|² − |Σv|² / n."""
     v = df.select(cluster, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
     own = v.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.sum(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)).alias("_ss"))
-    sums = v.select(cluster, F.posexplode("_v").alias("_i", "_x")).groupBy(cluster, "_i").agg(F.sum("_x").alias("_s")).groupBy(cluster).agg(F.sum(F.col("_s") * F.col("_s")).alias("_ls2"))
+    total = v.where("_v IS NOT NULL").groupBy(cluster).agg(Summarizer.sum(array_to_vector(F.col("_v"))).alias("_t")).select(cluster, vector_to_array("_t").alias("_s"))
+    sums = total.select(cluster, F.aggregate("_s", F.lit(0.0), lambda s, x: s + x * x).alias("_ls2"))
     return own.join(sums, cluster).select(cluster, "size", (F.col("_ss") - F.col("_ls2") / F.col("size")).alias("inertia"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def vote_with_na(df: DataFrame, keys: list[str], vote: str, attempt: str, asked:
 
 
 def _sum_of_units(df: DataFrame, group: str, unit: str) -> DataFrame:
-    """(group, total): the sum of unit vectors, by position, with partial sums before the shuffle; and n."""
-    parts = df.select(group, F.posexplode(unit).alias("_i", "_x")).groupBy(group, "_i").agg(F.sum("_x").alias("_s"))
-    return parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]).alias("_total"))
+    """(group, total): the sum of unit vectors, as partial sums of whole vectors before the shuffle."""
+    sums = df.where(F.col(unit).isNotNull()).groupBy(group).agg(Summarizer.sum(array_to_vector(F.col(unit))).alias("_t"))
+    return sums.select(group, vector_to_array("_t").alias("_total"))
 
 
 def centrality(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:

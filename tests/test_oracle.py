@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tarnwork.plans import analysis_queries, funnel_queries, parser_queries, skew_queries, source_queries
+from tarnwork.plans import analysis_queries, funnel_queries, parser_queries, skew_queries, source_queries, stage_queries
 
 DATA = "/root/testdata/sf0.001"
-MODULES = [skew_queries, funnel_queries, analysis_queries, parser_queries, source_queries]
+MODULES = [skew_queries, funnel_queries, analysis_queries, parser_queries, source_queries, stage_queries]
 CASES = [(n, m.QUERIES[n], m.SQL[n]) for m in MODULES for n in m.SQL]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 
