@@ -10,9 +10,10 @@ ascending pass equals merging each word by itself, lowest rank first and from th
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,8 @@ class PairIndexEncoder:
 
         self.byte_ids, self.merges = byte_ids, merges
         self.words = regex.compile(WORD_PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+        self.number = _Numbers()  # of the words met, in order
+        self.ids: list[list[int]] = []
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         merges, byte_ids = self.merges, self.byte_ids
@@ -119,21 +121,35 @@ class PairIndexEncoder:
             out[w] = ids
         return out
 
-    def learn(self, texts: Iterable[str | None]) -> None:
-        """Encodes the words of all ``texts`` that are not known yet, over one index."""
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
-        new = {w for t in texts if t for w in self.words(t)} - self.known.keys()
+    def read(self, texts: Iterable[str | None]) -> list[array]:
+        """The numbers of the words of each text."""
+        return [array("i", map(self.number.__getitem__, self.words(t))) if t else array("i") for t in texts]
+
+    def learn(self) -> None:
+        """Encodes the words that were read since, over one index."""
+        new = list(islice(self.number, len(self.ids), None))
         if new:
-            self.known.update(self.encode_words(new))
+            got = self.encode_words(new)
+            self.ids += [got[w] for w in new]
+
+    def forget(self) -> None:
+        if len(self.ids) > REMEMBERED_WORDS:
+            self.number, self.ids = _Numbers(), []
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.words(t) if t else [] for t in texts]
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            known.update(self.encode_words(new))
-        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
+        self.forget()
+        read = self.read(texts)
+        self.learn()
+        return self.ids_of(read)
+
+    def ids_of(self, read: list[array]) -> list[list[int]]:
+        return [list(chain.from_iterable(map(self.ids.__getitem__, ns))) for ns in read]
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -150,15 +166,15 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, vocabulary: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PairIndexEncoder(*shared.value)
 
-        def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            texts = [b.column(1).to_pylist() for b in held]
-            encoder.learn(t for part in texts for t in part)
-            for batch, part in zip(held, texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode(part), type=pa.list_(pa.int32()))], names=[id_col, "ids"])
+        def together(held: list[tuple[pa.Array, list[array]]]) -> Iterator[pa.RecordBatch]:
+            encoder.learn()
+            for keys, read in held:
+                yield pa.RecordBatch.from_arrays([keys, pa.array(encoder.ids_of(read), type=pa.list_(pa.int32()))], names=[id_col, "ids"])
+            encoder.forget()
 
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
+            held.append((batch.column(0), encoder.read(batch.column(1).to_pylist())))
             size += batch.column(1).nbytes
             if size >= HELD_BYTES:
                 yield from together(held)
