@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +28,7 @@ BROKEN = 1500  # of them to break
 BUCKETS = 1 << 16
 CHUNK, CHUNK_CHARS = 500, 2_000_000  # answers, and their length, that are scored at a time
 LONG, PIECE = 4000, 1 << 20  # bytes from which on n-grams of a text are counted by bucket, so many bytes at a time
+END_GRAMS, END_WEIGHT = (3, 5, 8, 12, 18), 0.6  # last bytes of a text that count as n-grams of their own
 EPOCHS, BATCH, RATE, DECAY = 12, 512, 0.15, 1e-6
 
 #: Share of pairs assumed to have a given defect, for the thresholds.
@@ -84,6 +87,13 @@ _CODE_SIGNS = {
     "c": re.compile(r"->|::|\b(?:int|char|size_t|unsigned|void|struct|auto|std|sizeof|bool|double|float|long|uint\d+_t|int\d+_t|memcpy|malloc|nullptr|NULL|template|static|inline|__\w+)\b|#include|&\w+\)|\*\w+[ ;=)]|\w+_\.\w+\("),
     "other": re.compile(r":=|\bfunc\b|\bfn\b|\blet mut\b|\bpublic\b|\bpackage\b|\bimpl\b|\bnew ArrayList|\bSystem\.|-> [iu]\d+|\.iter\(\)|\bString\b|\bnil\b"),
 }
+#: Any sign of a language holds one of these; a text without them needs no search for signs. Nearly all code holds one of C's.
+_CODE_HINTS = {
+    "python": [*"def class elif except with import from assert lambda : None True False self range( len( f\" **".split(), " in", "is not"],
+    "js": "=> === !== let var function undefined typeof require export const .length .push .map .filter .forEach .includes .join console. ` of".split(),
+    "c": [""],
+    "other": [*":= func fn public package impl System. .iter() String nil".split(), "let mut", "new ArrayList", "-> "],
+}
 
 _WORDS = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 _COMMENTS = re.compile(r"```[\w+]*|//[^\n]*|/\*.*?\*/|^\s*#(?!include|define|if|endif|else)[^\n]*", re.S | re.M)
@@ -96,6 +106,16 @@ _FOREIGN_ONLY = frozenset(w for lang, ws in FUNCTION_WORDS.items() if lang != "e
 _EN_ONLY = _OF["en"] - frozenset(w for lang, ws in FUNCTION_WORDS.items() if lang != "en" for w in ws)
 _LATIN = re.compile("[à-öø-ÿßœ]", re.I)
 _KEEP = re.compile(r"[\W_]+")
+_ASCII_WORDS = bytes(ord(chr(i).lower()) if i < 128 and (chr(i).isalnum() or chr(i) == "_") else 32 for i in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """``_WORDS`` of the lower-case text; most texts are ASCII, where a table of bytes does it in a fraction of the time."""
+    if text.isascii():
+        t = text.encode("ascii").translate(_ASCII_WORDS).decode("ascii")
+        if "_" not in t or not ("__" in t or " _" in t or "_ " in t or t[0] == "_" or t[-1] == "_"):
+            return t.split()
+    return _WORDS.findall(text.lower())
 
 
 def folded(text: str) -> str:
@@ -111,10 +131,16 @@ def script_shares(text: str) -> tuple[float, float, float]:
 
 @lru_cache(4096)
 def _asked(question: str, summary: bool) -> tuple:
-    words = _WORDS.findall(question.lower())
-    line = _WORDS.findall(question.split("\n")[0].lower()) if summary else words
+    words = words_of(question)
+    line = words_of(question.split("\n")[0]) if summary else words
     cjk = not summary and not question.isascii() and len(_CJK.findall(question)) > 5
-    return cjk, frozenset(words), line, frozenset(zip(words, words[1:], words[2:])), " ".join(line), " ".join(words)
+    return cjk, frozenset(words), Counter(line), len(line), " ".join(line), " ".join(words)
+
+
+@lru_cache(4096)
+def _threes(flat: str) -> frozenset[tuple[str, str, str]]:
+    words = flat.split(" ")
+    return frozenset(zip(words, words[1:], words[2:]))
 
 
 # words by which a refusal may show
@@ -122,56 +148,52 @@ _SELF = frozenset("i my me myself".split())
 _DECLINE = frozenset("sorry apologise apologize unable decline refuse refused cannot unfortunately permission permit permitted policy guidelines instructions comfortable appropriate inappropriate allowed assist comment prefer answer help afraid request position".split())
 
 
-def text_features(question: str, answer: str, summary: bool, vocabulary: frozenset[str] = frozenset()) -> list[float]:
+def text_counts(question: str, answer: str, summary: bool, vocabulary: frozenset[str]) -> tuple:
+    """What ``text_features`` is computed of, by answer."""
     a = answer.strip()
-    words = _WORDS.findall(a.lower())
+    ascii = a.isascii()
+    words = words_of(a)
     n = len(words)
-    cjk, cyr, other = script_shares(a)
-    wants_cjk, q_set, line, q3, flat_line, flat_q = _asked(question, summary)
-    foreign = english = inside = 0
-    for w in words:
-        if w in _FOREIGN_ONLY:
-            foreign += 1
-        elif w in _EN_ONLY:
-            english += 1
-        if w in q_set:
-            inside += 1
-    latin = 0 if a.isascii() else len(_LATIN.findall(a))
-    off = (cjk < 0.15 and n > 4) if wants_cjk else (cjk > 0.15 or cyr > 0.15 or other > 0.15)
+    cjk, cyr, other = (0.0, 0.0, 0.0) if ascii else script_shares(a)
+    wants_cjk, q_set, line, asked, flat_line, flat_q = _asked(question, summary)
     a_set = set(words)
-    back = sum(w in a_set for w in line)
-    t3 = max(1, n - 2)
-    run = len(q3.intersection(zip(words, words[1:], words[2:]))) if inside > 2 else 0
+    foreign = 0 if a_set.isdisjoint(_FOREIGN_ONLY) else sum(map(_FOREIGN_ONLY.__contains__, words))
+    selves = 0 if a_set.isdisjoint(_SELF) else sum(map(_SELF.__contains__, words))
+    declines = 0 if a_set.isdisjoint(_DECLINE) else sum(map(_DECLINE.__contains__, words))
+    known = bytes(map(q_set.__contains__, words))  # 1 for a word of the question
     flat = " ".join(words)
-    same = bool(words) and (flat == flat_line or flat == flat_q)
-    part = n >= 4 and flat in flat_q
-    selves = declines = 0
-    for w in words:
-        if w in _SELF:
-            selves += 1
-        elif w in _DECLINE:
-            declines += 1
-    odd = n > 0 and a[-1:].isalpha() and a.isascii() and words[-1] not in vocabulary and words[-1] not in q_set
-    dangling = n > 2 and words[-1] in DANGLING
+    tail = words[-1] if n else ""
     last = a[-1:] or " "
     ticks = a.count("`")
-    opened = sum(map(a.count, "([{")) - sum(map(a.count, ")]}"))
-    dots = a.endswith("...") or last == "…"
-    letter = last.isalnum()
-    new = n - inside
-    return [
-        float(n == 0), float(n == 1), float(n == 2), min(n, 30) / 30,
-        float(last in ".!?。！？\"'`)”"), float(letter), float(last in ",;:([{<=&|+-*/\\"), float(dots and n > 2), float(dots and n <= 2),
-        float(ticks % 2), float(opened > 0), float(a.count("\"") % 2), float(a.count("```") % 2), float(a[:1] == "{" and last != "}"),
-        float(off), float(wants_cjk), cjk if not wants_cjk else 0.0, cyr, other,
-        min(foreign, 6) / 6, min(english, 6) / 6, float(foreign > english and foreign > 1), float(latin > 0 and foreign >= english), foreign / max(1, n), english / max(1, n),
-        inside / max(1, n), back / max(1, len(line)), run / t3, float(same), float(part), float(part and new == 0), min(new, 8) / 8, float(run / t3 > 0.9 and n >= 5), float(inside == n and n >= 4),
-        float(summary), float(summary and same), float(dangling and letter), float(odd), float(odd and "_" not in words[-1]), float(selves > 0), float(declines > 0), float(declines > 1), float(selves > 0 and declines > 0), declines / max(1, n), float(wants_cjk and cjk >= 0.15), float(not wants_cjk and english > 1 and not off),
-    ]
+    return (
+        n, sum(map(_EN_ONLY.__contains__, words)), foreign, selves, declines, known.count(1), asked, sum(map(line.__getitem__, a_set.intersection(q_set))),
+        len(_threes(flat_q).intersection(zip(words, words[1:], words[2:]))) if b"\1\1\1" in known else 0,
+        0 if ascii else len(_LATIN.findall(a)), cjk, cyr, other, wants_cjk, n > 0 and (flat == flat_line or flat == flat_q), n >= 4 and flat in flat_q,
+        n > 0 and ascii and last.isalpha() and tail not in vocabulary and tail not in q_set, "_" in tail, n > 2 and tail in DANGLING,
+        last in ".!?。！？\"'`)”", last.isalnum(), last in ",;:([{<=&|+-*/\\", a.endswith("...") or last == "…", ticks,
+        a.count("(") + a.count("[") + a.count("{") - a.count(")") - a.count("]") - a.count("}"), a.count("\""), a.count("```") if ticks > 2 else 0, a[:1] == "{" and last != "}",
+    )
+
+
+def text_features(questions: list[str], answers: list[str], summary: bool, vocabulary: frozenset[str] = frozenset()) -> np.ndarray:
+    counts = [text_counts(q, a, summary, vocabulary) for q, a in zip(questions, answers)]
+    (n, english, foreign, selves, declines, inside, asked, back, run, latin, cjk, cyr, other, wants_cjk, same, part, odd, joined, dangling, closed, letter, goes_on, dots, ticks, opened, quotes, fences, brace) = np.array(counts, dtype="float64").reshape(-1, 28).T
+    wants, same, part, letter, dots, odd = wants_cjk > 0, same > 0, part > 0, letter > 0, dots > 0, odd > 0
+    off = np.where(wants, (cjk < 0.15) & (n > 4), (cjk > 0.15) | (cyr > 0.15) | (other > 0.15))
+    some, new, run3 = np.maximum(n, 1), n - inside, run / np.maximum(n - 2, 1)
+    return np.stack([
+        n == 0, n == 1, n == 2, np.minimum(n, 30) / 30,
+        closed, letter, goes_on, dots & (n > 2), dots & (n <= 2),
+        ticks % 2, opened > 0, quotes % 2, fences % 2, brace,
+        off, wants, np.where(wants, 0.0, cjk), cyr, other,
+        np.minimum(foreign, 6) / 6, np.minimum(english, 6) / 6, (foreign > english) & (foreign > 1), (latin > 0) & (foreign >= english), foreign / some, english / some,
+        inside / some, back / np.maximum(asked, 1), run3, same, part, part & (new == 0), np.minimum(new, 8) / 8, (run3 > 0.9) & (n >= 5), (inside == n) & (n >= 4),
+        np.full(len(n), summary), same & summary, (dangling > 0) & letter, odd, odd & (joined == 0), selves > 0, declines > 0, declines > 1, (selves > 0) & (declines > 0), declines / some, wants & (cjk >= 0.15), ~wants & (english > 1) & ~off,
+    ], axis=1).astype("float64")
 
 
 def code_language(text: str) -> dict[str, int]:
-    return {lang: len(p.findall(text)) for lang, p in _CODE_SIGNS.items()}
+    return {lang: len(p.findall(text)) if any(map(text.__contains__, _CODE_HINTS[lang])) else 0 for lang, p in _CODE_SIGNS.items()}
 
 
 def bare(code: str) -> str:
@@ -180,7 +202,7 @@ def bare(code: str) -> str:
 
 @lru_cache(4096)
 def _given(question: str) -> tuple:
-    return bare(question), code_language(question), frozenset(_WORDS.findall(question.lower()))
+    return bare(question), code_language(question), frozenset(words_of(question))
 
 
 @lru_cache(1 << 16)
@@ -189,7 +211,7 @@ def code_features(question: str, answer: str) -> tuple[float, ...]:
     body = _COMMENTS.sub(" ", a).strip()
     q_flat, theirs, q_words = _given(question)
     flat = "".join(body.split())
-    words = _WORDS.findall(body.lower())
+    words = words_of(body)
     mine = code_language(body)
     c_mine, c_theirs = mine["c"], theirs["c"]
     def best(m: dict[str, int]) -> str:
@@ -201,7 +223,7 @@ def code_features(question: str, answer: str) -> tuple[float, ...]:
     last = body[-1:] or " "
     quotes = body.count('"') - body.count('\\"')
     semi, q_semi = body.count(";"), question.count(";")
-    prose = sum(w in _EN_ONLY for w in _WORDS.findall(a.lower()))
+    prose = sum(map(_EN_ONLY.__contains__, words if body == a else words_of(a)))
     return (
         float(not flat), float(not a), float(len(words) <= 1 and len(flat) < 8), float(len(flat) < 4), min(len(flat), 200) / 200,
         float(flat == q_flat and bool(flat)), float(flat.rstrip(";") == q_flat.rstrip(";") and bool(flat)),
@@ -209,7 +231,7 @@ def code_features(question: str, answer: str) -> tuple[float, ...]:
         float(last in ";}"), float(last in ")]"), float(last.isalnum() or last == "_"), float(last in ",.([{<>=&|+-*/!:?"), float(quotes % 2), float(a.count("```") % 2),
         float(last not in ";}" and semi > 0 and q_semi > 0), float(semi == 0 and q_semi > 0), float(semi > 0 and q_semi == 0), float(last not in ";}" and q_semi > 0 and semi == 0),
         float(differs), float(differs and min(mine[b_mine], 3) >= 2), min(mine["python"], 4) / 4 * (b_theirs != "python"), min(mine["js"], 4) / 4 * (b_theirs != "js"), min(c_mine, 4) / 4 * (b_theirs in ("python", "js")), min(mine["other"], 4) / 4 * (theirs["other"] == 0), float(c_theirs > 0),
-        min(prose, 5) / 5, prose / max(1, len(words) + 1), sum(w in q_words for w in words) / max(1, len(words)),
+        min(prose, 5) / 5, prose / max(1, len(words) + 1), sum(map(q_words.__contains__, words)) / max(1, len(words)),
         float(a.endswith("...") or last == "…"),
     )
 
@@ -246,27 +268,59 @@ def gram_rows(texts: list[str], ends: bool) -> tuple[np.ndarray, np.ndarray, np.
         for i, d in enumerate(data):
             if len(d) <= LONG:
                 continue
-            n = np.zeros(BUCKETS)
-            for lo in range(0, len(d) - k + 1, PIECE):
-                n += np.bincount(gram_buckets(np.frombuffer(d[lo : lo + PIECE + k - 1], dtype="uint8").astype("uint32"), k), minlength=BUCKETS)
+            n = long_counts(d, k)
             used = np.nonzero(n)[0]
             rows.append(np.full(len(used), i))
             buckets.append(used)
             weights.append(n[used] / np.sqrt(len(d) - k + 1))
     if ends:
-        tails = [d.rstrip() for d in data]
-        for k in (3, 5, 8, 12, 18):
+        for b in end_buckets(data):
             rows.append(np.arange(len(data)))
-            buckets.append(np.fromiter((hash_bytes(d[-k:], 977 + k) & BUCKETS - 1 for d in tails), dtype="int64", count=len(data)))
-            weights.append(np.full(len(data), 0.6))
+            buckets.append(b)
+            weights.append(np.full(len(data), END_WEIGHT))
     if not rows:
         return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
     return np.concatenate(rows), np.concatenate(buckets), np.concatenate(weights)
 
 
-def hash_bytes(b: bytes, salt: int) -> int:
-    import zlib
+def long_counts(d: bytes, k: int) -> np.ndarray:
+    """How often each bucket occurs in a long text."""
+    n = np.zeros(BUCKETS)
+    for lo in range(0, len(d) - k + 1, PIECE):
+        n += np.bincount(gram_buckets(np.frombuffer(d[lo : lo + PIECE + k - 1], dtype="uint8").astype("uint32"), k), minlength=BUCKETS)
+    return n
 
+
+def end_buckets(data: list[bytes]) -> list[np.ndarray]:
+    """Buckets of the last bytes of each text, as of ``hash_bytes``."""
+    tails = [d.rstrip() for d in data]
+    out = []
+    for k in END_GRAMS:
+        h = np.fromiter([zlib.crc32(d[-k:], 977 + k) for d in tails], dtype="int64", count=len(tails))
+        out.append((h ^ h >> 15) & BUCKETS - 1)
+    return out
+
+
+def gram_sums(grams: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Sums of ``grams`` by text, weighted as in ``gram_rows``, without a row in memory for the weight of each n-gram."""
+    k = 5
+    data = [t.lower().encode("utf-8", "replace") for t in texts]
+    out = grams[np.stack(end_buckets(data), axis=1)].sum(axis=1, dtype="float64") * END_WEIGHT
+    short = np.array([i for i, d in enumerate(data) if k <= len(d) <= LONG], dtype="int64")
+    if len(short):
+        size = np.array([len(data[i]) for i in short])
+        end = np.cumsum(size)
+        each = np.take(grams, gram_buckets(np.frombuffer(b"".join([data[i] for i in short]), dtype="uint8").astype("uint32"), k), axis=0)
+        # sums from each text's start to its last n-gram; every other sum is of those that run into the next text
+        cuts = np.stack([end - size, end - k + 1], axis=1).ravel()[:-1]
+        out[short] += np.add.reduceat(each, cuts, axis=0, dtype="float64")[::2] / np.sqrt(size - k + 1)[:, None]
+    for i, d in enumerate(data):
+        if len(d) > LONG:
+            out[i] += long_counts(d, k) @ grams / np.sqrt(len(d) - k + 1)
+    return out
+
+
+def hash_bytes(b: bytes, salt: int) -> int:
     h = zlib.crc32(b, salt)
     return h ^ h >> 15
 
@@ -289,18 +343,19 @@ class Model:
             out[:, k] += np.bincount(row, each[:, k], len(dense))
         return out
 
+    def of_texts(self, dense: np.ndarray, texts: list[str]) -> np.ndarray:
+        return dense @ self.dense + self.bias + gram_sums(self.grams, texts)
 
-def features(kind: str, questions: list[str], answers: list[str], vocabulary: frozenset[str] = frozenset()) -> tuple[np.ndarray, tuple]:
+
+def features(kind: str, questions: list[str], answers: list[str], vocabulary: frozenset[str] = frozenset()) -> np.ndarray:
     if kind == "code":
-        dense = [code_features(q, a) for q, a in zip(questions, answers)]
-    else:
-        dense = [text_features(q, a, kind == "summary", vocabulary) for q, a in zip(questions, answers)]
-    return np.array(dense, dtype="float64").reshape(len(answers), -1), gram_rows(answers, True)
+        return np.array([code_features(q, a) for q, a in zip(questions, answers)], dtype="float64").reshape(len(answers), -1)
+    return text_features(questions, answers, kind == "summary", vocabulary)
 
 
 def fit(kind: str, questions: list[str], answers: list[str], labels: np.ndarray, seed: int, vocabulary: frozenset[str] = frozenset()) -> Model:
     """Logistic regression by Adagrad; labels is (n, defects) of 0 and 1."""
-    dense, (row, bucket, weight) = features(kind, questions, answers, vocabulary)
+    dense, (row, bucket, weight) = features(kind, questions, answers, vocabulary), gram_rows(answers, True)
     n, d = dense.shape
     order = np.argsort(row, kind="stable")
     row, bucket, weight = row[order], bucket[order], weight[order]
@@ -450,11 +505,11 @@ def train(kind: str, pairs: list[tuple[str, str]], seed: int = 11) -> Model:
         held = np.array([rng.random() < 0.2 for _ in qs])
         pick = lambda xs, keep: [x for x, k in zip(xs, keep) if k]
         model = fit(kind, pick(qs, ~held), pick(ans, ~held), y[~held], seed, vocabulary)
-        z = model.scores(*features(kind, pick(qs, held), pick(ans, held), vocabulary))
+        z = model.of_texts(features(kind, pick(qs, held), pick(ans, held), vocabulary), pick(ans, held))
         for k in range(len(DEFECTS)):
             model.cut[k] = threshold(z[:, k], y[held][:, k])
         # pairs of the sample that look broken are no examples of sound ones
-        z = model.scores(*features(kind, [q for q, _ in sound], [a for _, a in sound], vocabulary))
+        z = model.of_texts(features(kind, [q for q, _ in sound], [a for _, a in sound], vocabulary), [a for _, a in sound])
         keep = (z < model.cut).all(axis=1)
         sound = [p for p, k in zip(sound, keep) if k]
     return model
@@ -477,10 +532,12 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def defects_of(kind: str, model: Model, questions: list[str], answers: list[str | None]) -> tuple[list[str | None], np.ndarray]:
-    """The defect of each answer or None, and by how much its score passes the threshold."""
+    """The defect of each answer or None, and by how much its score passes the threshold. Repeated pairs are scored once."""
+    first: dict[tuple[str, str], int] = {}
+    which = [first.setdefault((q, "" if a is None else a), len(first)) for q, a in zip(questions, answers)]
+    questions, every = [q for q, _ in first], [a for _, a in first]
     defects: list[str | None] = []
     tops = []
-    every = ["" if a is None else a for a in answers]
     lo = 0
     while lo < len(every):  # what a chunk needs stays in the processor's cache
         hi, chars = lo + 1, len(every[lo])
@@ -489,12 +546,12 @@ def defects_of(kind: str, model: Model, questions: list[str], answers: list[str
             hi += 1
         known, asked = every[lo:hi], questions[lo:hi]
         lo = hi
-        z = model.scores(*features(kind, asked, known, model.vocabulary)) - model.cut
+        z = model.of_texts(features(kind, asked, known, model.vocabulary), known) - model.cut
         best = z.argmax(axis=1)
         top = z[np.arange(len(known)), best]
         defects += [DEFECTS[b] if t > 0 else None for b, t in zip(best, top)]
         tops.append(top)
-    return defects, np.concatenate(tops) if tops else np.zeros(0)
+    return [defects[i] for i in which], np.concatenate(tops)[which] if tops else np.zeros(0)
 
 
 def find_defects(units: DataFrame, kinds: tuple[str, ...] = ("explanation", "code", "summary")) -> DataFrame:

@@ -110,3 +110,49 @@ def test_pieces_of_ngrams_join(monkeypatch):
     whole = p.gram_rows([t, "short text"], True)
     monkeypatch.setattr(p, "PIECE", 700)
     assert all(np.allclose(a, b) for a, b in zip(whole, p.gram_rows([t, "short text"], True)))
+
+
+def test_repeated_pairs_are_scored_once(models, monkeypatch):
+    made = [(q, a) for q, a in codes(40, 12)] + [("x = 1;", None), ("x = 1;", "")]
+    once = p.defects_of("code", models["code"], [q for q, _ in made], [a for _, a in made])
+    seen, real = [], p.features
+
+    def counted(kind, questions, answers, *more):
+        seen.append(len(answers))
+        return real(kind, questions, answers, *more)
+
+    monkeypatch.setattr(p, "features", counted)
+    many = made * 30
+    random.Random(4).shuffle(many)
+    got, by = p.defects_of("code", models["code"], [q for q, _ in many], [a for _, a in many])
+    assert sum(seen) == len({(q, a or "") for q, a in made})
+    want = {pair: (d, m) for pair, d, m in zip(made, *once)}
+    assert got == [want[pair][0] for pair in many] and np.allclose(by, [want[pair][1] for pair in many])
+    assert got[many.index(("x = 1;", None))] == "empty"
+
+
+def test_sums_of_ngrams_are_those_of_their_rows(models):
+    """Scores as for the fit, for texts without an n-gram, at the bound of long ones, beyond it, and all in one chunk."""
+    m = models["explanation"]
+    made = ["", "a", "abcd", "abcde", "因为", "é" * 2000, "x" * p.LONG, "y" * (p.LONG + 1), "The end. " * 900, "\ud800 broken", " \n"]
+    for some in (made, made[::-1], made[:3], made[7:8]):
+        dense = np.zeros((len(some), len(m.dense)))
+        assert np.allclose(m.of_texts(dense, some), m.scores(dense, p.gram_rows(some, True)))
+
+
+def test_words_and_signs_without_a_search():
+    r = random.Random(7)
+    parts = ["_", "__", "a", "B", "9", " ", "\t", "\n", "\x00", "\x1c", "-", ".", "`", "é", "İ", "²", "中", "snake_case", "don't"]
+    signs = ["def", "for x, y in z", "[x for x in y]", "not in", "is not", "async def", "f\"", "**k", "a: ", "len(", "let", "const", "of", "`${", ".push", "===", "=>", ":=", "func", "-> i3", ".iter()", "nil", "new ArrayList", "let mut", "std::x", "p->x"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(9)))
+        assert p.words_of(t) == p._WORDS.findall(t.lower())
+        code = r.choice(["", " ", "\n"]).join(r.choice(signs + parts) for _ in range(r.randrange(5)))
+        assert p.code_language(code) == {lang: len(s.findall(code)) for lang, s in p._CODE_SIGNS.items()}
+
+
+def test_features_of_a_pair_do_not_depend_on_the_others():
+    pairs = [(q, b) for q, a in texts(20, 14) for b in (a, a[:30], q, "I cannot do that, sorry.", "Das ist nicht die Antwort.", "因为循环", "", "a_b")]
+    every = p.text_features([q for q, _ in pairs], [a for _, a in pairs], False)
+    assert every.shape == (len(pairs), 46) and p.text_features([], [], True).shape == (0, 46)
+    assert all((p.text_features([q], [a], False)[0] == f).all() for (q, a), f in zip(pairs, every))
